@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, sharding
+from . import decision_list, exact_dedup, mixing, packing, rule_ensemble, sharding
 from .common import table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep="max")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("_rid")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(F.col("_kept.doc_id").alias("doc_id"), *decision_list.BASE, "base_failed", "kept", "rule")
 
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_mixing": op3_mixing,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }
