@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, exact_dedup, mixing, packing, rule_ensemble, sharding
+from . import decision_list, exact_dedup, license_scan, mixing, packing, rule_ensemble, sharding
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -35,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op6_packing": op6_packing,
@@ -44,6 +49,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }
