@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, exact_dedup, license_scan, mixing, packing, pii, rule_ensemble, sharding
+from . import decision_list, exact_dedup, license_scan, mixing, packing, pii, rule_ensemble, sharding, substring_dedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
@@ -56,5 +61,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }
