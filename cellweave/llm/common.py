@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,32 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path; ``removed`` deletes it."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # names the folder where it is unset
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
+    """rows with found's columns, by a left join on the string column ``key``; found has one row a key, and ``_hot``.
+
+    Fewer than 1024 keys may be hot; they are broadcast, and their rows get keys
+    of their own (``spread``, a function of the row) in the join of the others,
+    so a key with a third of all rows meets in no task.
+    """
+    names = [c for c in found.columns if c not in (key, "_hot")]
+    part = lambda hot, name: found.where(F.col("_hot") == F.lit(hot)).select(F.col(key).alias(f"_k{name}"), F.struct(*names).alias(name))
+    marked = rows.join(F.broadcast(part(True, "_h")), F.col(key) == F.col("_k_h"), "left")
+    marked = marked.withColumn("_by", F.when(F.col("_k_h").isNull(), F.col(key)).otherwise(F.concat(F.lit("row "), spread.cast("string"))))
+    met = marked.join(part(False, "_c"), F.col("_by") == F.col("_k_c"), "left")
+    return met.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col("_h")[n], F.col("_c")[n]).alias(n) for n in names])

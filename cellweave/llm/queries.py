@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, exact_dedup, license_scan, mixing, packing, pii, rule_ensemble, sharding, substring_dedup
+from . import decision_list, exact_dedup, license_scan, mixing, ngram_join, packing, pii, rule_ensemble, sharding, substring_dedup
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
@@ -62,5 +67,6 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }
