@@ -6,7 +6,7 @@ import itertools
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ EPS = 1e-9
 STATE = ["doc_id", "source", "size", "_rid", "source_size", "target", "_whole", "_p", "_order", "_rows"]
 
 
+def words_in(docs: DataFrame) -> Column:
+    return F.regexp_count(text_of(docs), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+
+
 def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, target): one row a source, sources in code point order and null last.
 
@@ -105,7 +109,7 @@ def _fly(seed: int, last: bool):
 
 
 def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, copies, taken.
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
 
     Every document of a source is expected target/source_size times; the whole
     part is certain and the fraction is the inclusion probability of the cube
@@ -117,8 +121,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
     Empty table: empty result.  docs' other columns are not read.  Reruns agree
     for one layout of the input; seed changes the draw.
     """
-    size = F.regexp_count(text_of(docs), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    sizes = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("_rid"))
+    sizes = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), words_in(docs).alias("size"), F.monotonically_increasing_id().alias("_rid"))
     sizes = cut(sizes)
     aims = cut(targets(sizes, cycle, share, most))
     # A source's row reaches all its documents. Sources are few against documents, yet unbounded: broadcast only up to a checked count.
@@ -149,4 +152,28 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
         turn += 1
     out = flown if done is None else done.unionByName(flown)
     copies = F.col("_whole") + F.round("_p").cast("int")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "_rid")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "_rid")
+
+
+def _key(doc_id: Column, source: Column, size: Column) -> Column:
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("-")), size.cast("string"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))]
+    return F.concat_ws(":", *parts)
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows with all their columns, each as often as ``mix`` takes it.
+
+    Rows alike in doc_id, source and size are told apart by their number among
+    such rows, and only if there are any.
+    """
+    drawn = mix(docs, **options)
+    drawn = cut(drawn.select(_key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k"), "copies", "_rid"))
+    packed = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"), _key(docs["doc_id"].cast("bigint"), docs["source"].cast("string"), words_in(docs)).alias("_k"))
+    on = ["_k"]
+    if drawn.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        drawn = drawn.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy("_rid")))
+        packed = packed.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy(F.lit(0))))
+        on = ["_k", "_i"]
+    met = packed.join(drawn.where("copies > 0").drop("_rid"), on)
+    times = met.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return times.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

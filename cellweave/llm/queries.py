@@ -18,7 +18,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("_rid")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "_rid")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

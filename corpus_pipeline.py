@@ -1,11 +1,67 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.llm import decision_list, exact_dedup, mixing, ngram_join, packing
+from cellweave.llm.common import removed, table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base conditions or the learned decision list reject go."""
+    judged = decision_list.judge(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return judged.where("kept").select(*[F.col("_kept").getField(c).alias(c) for c in COLUMNS])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.keep_one(docs.select(*COLUMNS), keep="max")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links the one with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs.select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.repeat(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact),
+    ("ngram_join", near),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Learned rules, the cube method's draw and token ids are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES on documents; between stages the rows go to a Parquet table in the shared folder, so none is computed twice."""
+    docs, paths = table(spark, sf_dir, "documents"), []
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs, path = written(docs)
+            paths.append(path)
+    # The last stage has cut its lineage, so the tables can go.
+    for path in paths:
+        removed(spark, path)
     return docs
