@@ -16,6 +16,8 @@ from .common import cut, looked_up, removed, small_batches, written
 SHINGLE = 5
 #: Documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Of a prefix gram: its set's size, and its place in the set's order.
+PLACE = ("n", "pos")
 FACTOR, SHORT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 _RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary())])
@@ -140,11 +142,15 @@ def _prefixes(bits: int, seed: int):
     return chunk
 
 
-def _fits(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
-    """Length filter, and positional filter: what two sets can share at most, given one shared gram's places."""
+def _fits(a: list[Column], b: list[Column]) -> Column:
+    """Length filter, and positional filter: what two sets (n, pos) can share at most if this gram is the first they share.
+
+    A pair that links passes at its first shared gram, and so comes out; at
+    later grams it need not come out again.
+    """
+    (n1, pos1), (n2, pos2) = a, b
     length = 100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)
-    most = F.least(pos1, pos2) + F.least(n1 - pos1, n2 - pos2)
-    return length & ((100 + PERCENT) * most >= PERCENT * (n1 + n2))
+    return length & ((100 + PERCENT) * F.least(n1 - pos1, n2 - pos2) >= PERCENT * (n1 + n2))
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -204,21 +210,21 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     some = F.call_function("shiftright", F.xxhash64("cid"), F.lit(32)).bitwiseAND(F.lit(0x7FFFFFFF))
     orders = [F.shiftleft(F.col("single").cast("bigint"), 31) + some, F.shiftleft("n", 31) + some, F.xxhash64("cid", F.lit(1))]
     keyed = entries.withColumns({f"_o{i}": o for i, o in enumerate(orders)})
-    columns = [F.min_by(c, f"_o{i}").alias(f"{c}{i}") for i in range(3) for c in ("cid", "n", "pos")]
+    columns = [F.min_by(c, f"_o{i}").alias(f"{c}{i}") for i in range(3) for c in ("cid", *PLACE)]
     hubs = keyed.groupBy("gram").agg(F.min("cid").alias("_low"), F.max("cid").alias("_high"), *columns).where("_low < _high")
-    hubs = hubs.select("gram", F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cid", "n", "pos")]) for i in range(3)]).alias("hubs"))
-    met = entries.join(hubs, "gram").select("cid", "n", "pos", F.explode(F.array_distinct("hubs")).alias("h"))
-    fits = (F.col("h.cid") != F.col("cid")) & _fits(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos"))
+    hubs = hubs.select("gram", F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cid", *PLACE)]) for i in range(3)]).alias("hubs"))
+    met = entries.join(hubs, "gram").select("cid", *PLACE, F.explode(F.array_distinct("hubs")).alias("h"))
+    fits = (F.col("h.cid") != F.col("cid")) & _fits([F.col(c) for c in PLACE], [F.col("h")[c] for c in PLACE])
     return _pairs(met.where(fits).select("cid", F.col("h.cid").alias("other")))
 
 
 def _open_pairs(entries: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """What is left to test: pairs of a gram's group in different components that were not tested."""
-    joined = entries.join(labels, "cid", "left").select("gram", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
+    joined = entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label", "cid").alias("label"))
     mixed = joined.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("gram")
     left = cut(joined.join(mixed, "gram", "left_semi").distinct())
-    other = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "label")])
-    apart = (F.col("label") < F.col("label2")) & _fits(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
+    other = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", *PLACE, "label")])
+    apart = (F.col("label") < F.col("label2")) & _fits([F.col(c) for c in PLACE], [F.col(f"{c}2") for c in PLACE])
     pairs = _pairs(left.join(other, "gram").where(apart).select("cid", F.col("cid2").alias("other")))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
