@@ -1,0 +1 @@
+"""cellweave: partitioning of grids, graphs, trees and points as Spark queries."""
