@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, text_of, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Inputs of the learned rules and scores, all derived from the text alone.
 FEATURES = (
     "n_words",
@@ -20,7 +20,6 @@ FEATURES = (
     "repeat_share",
     "distinct_share",
     "comma_share",
-    "stop_share",
 )
 
 
@@ -64,7 +63,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = text_of(docs)
     narrow = docs.select(*[docs[c].alias(c) for c in keep], text.alias("_t"))
     t = F.col("_t")
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    number = lambda chars: F.regexp_count(t, F.lit(chars)).cast("bigint")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = words(t)
     counted = narrow.select(
@@ -75,17 +74,16 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
                 F.size(w).cast("bigint").alias("n_words"),
                 repeated(w).alias("n_repeat_words"),
                 F.size(F.array_distinct(w)).cast("bigint").alias("_distinct"),
-                F.size(F.filter(w, lambda x: F.length(x) <= 3)).cast("bigint").alias("_short"),
             ),
         ).alias("_w"),
-        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        without(SYMBOLS).cast("bigint").alias("n_symbols"),
+        (F.length(t) - number(SPACE)).alias("word_chars"),
+        number(SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.greatest(F.size(F.split(t, "\n")), F.lit(1)).alias("_lines"),
-        without("!?").alias("_exclaim"),
-        without(",;").alias("_comma"),
-        without("0123456789").alias("_digit"),
-        (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}++", ""))).alias("_upper"),
+        number("[!?]").alias("_exclaim"),
+        number("[,;]").alias("_comma"),
+        number("[0-9]").alias("_digit"),
+        number(r"\p{Lu}").alias("_upper"),
     )
     n, chars = F.greatest(F.col("_w.n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return counted.select(
@@ -104,7 +102,6 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.col("_w.n_repeat_words") / n).alias("repeat_share"),
         (F.col("_w._distinct") / n).alias("distinct_share"),
         (F.col("_comma") / n).alias("comma_share"),
-        (F.col("_w._short") / n).alias("stop_share"),
     )
 
 
