@@ -154,19 +154,19 @@ def _literal(path: Sequence[int]) -> Column:
 
 
 def hanging_subtrees(t: DataFrame, path: Sequence[int]) -> DataFrame:
-    """(node, subtree, at, root_ord, key): off the path, each node with the root of its subtree.
+    """(node, subtree, spot, root_ord, key): off the path, each node with the root of its subtree.
 
     Nodes on the path begin every node's own way from the root, so the subtree's
-    root is the first node after them; ``at`` is the place on the path it hangs on.
+    root is the first node after them; ``spot`` is the place on the path it hangs on.
     """
     common = F.size(F.array_intersect("path", _literal(path)))
     off = t.where(~F.array_contains(_literal(path), F.col("node")))
-    return off.select("node", F.get("path", common).alias("subtree"), (common - 1).alias("at"), F.get("key", common - 1).alias("root_ord"), "key", "path", "depth")
+    return off.select("node", F.get("path", common).alias("subtree"), (common - 1).alias("spot"), F.get("key", common - 1).alias("root_ord"), "key", "path", "depth")
 
 
 def subtree_sizes(hanging: DataFrame) -> DataFrame:
-    """(subtree, at, root_ord, size) in order along the path, then by edge."""
-    return hanging.groupBy("subtree", "at", "root_ord").agg(F.count("*").alias("size"))
+    """(subtree, spot, root_ord, size) in order along the path, then by edge."""
+    return hanging.groupBy("subtree", "spot", "root_ord").agg(F.count("*").alias("size"))
 
 
 def size_report(sizes: DataFrame) -> DataFrame:
@@ -283,24 +283,25 @@ def _relabelled(assignment: DataFrame, new: dict[int, int]) -> DataFrame:
 
 
 def _decompose(edges: DataFrame, root: int | None):
-    """The tree, its longest path, and (node, subtree, place, ...) of all other nodes after oversized subtrees were split."""
-    t = cut(tree(edges, root))
-    path = longest_path(t)
-    hanging = cut(hanging_subtrees(t, path))
-    sizes = size_report(subtree_sizes(hanging)).orderBy("at", "root_ord").collect()
-    order = [(r["subtree"], r["size"]) for r in sizes if not r["oversized"]]
-    more_paths = []
-    for r in (r for r in sizes if r["oversized"]):
-        inner = hanging.where(F.col("subtree") == r["subtree"])
-        start = r["at"] + 1
-        relative = inner.select("node", F.expr(f"slice(path, {start + 1}, size(path))").alias("path"), F.expr(f"slice(key, {start + 1}, size(key))").alias("key"), (F.col("depth") - start).alias("depth"))
-        own = longest_path(relative)
-        more_paths.append(own)
-        below = hanging_subtrees(relative, own).select("node", "subtree", "at", "root_ord", "key")
-        order += [(x["subtree"], x["size"]) for x in subtree_sizes(below).orderBy("at", "root_ord").collect()]
-        rest = hanging.where(F.col("subtree") != r["subtree"])
-        hanging = cut(rest.unionByName(below.withColumns({"path": F.expr("cast(array() as array<bigint>)"), "depth": F.lit(0)}).select(*hanging.columns)))
-    return t, path, more_paths, hanging, order
+    """The tree's longest path, those of oversized subtrees, (node, subtree, key) of all other nodes, and (subtree, size) in order.
+
+    An oversized subtree is replaced by the subtrees off its own longest path;
+    all of them are split in one pass.
+    """
+    path_tree = cut(tree(edges, root))
+    path = longest_path(path_tree)
+    hanging = cut(hanging_subtrees(path_tree, path))
+    sizes = cut(size_report(subtree_sizes(hanging)))
+    big = hanging.join(sizes.where("oversized").select("subtree"), "subtree").withColumn("rel", F.expr("slice(path, spot + 2, size(path))")).withColumn("relkey", F.expr("slice(key, spot + 2, size(key))"))
+    longest = F.max(F.struct(F.size("rel"), F.transform("rel", lambda x: -x).alias("p")))["p"]
+    own = cut(big.groupBy("subtree").agg(F.transform(longest, lambda x: -x).alias("lp"), F.min("spot").alias("_spot"), F.min("root_ord").alias("_ord")))
+    split = big.join(own, "subtree").where(~F.array_contains("lp", F.col("node"))).withColumn("_c", F.size(F.array_intersect("rel", "lp")))
+    below = cut(split.select("node", F.get("rel", F.col("_c")).alias("subtree"), F.col("relkey").alias("key"), "_spot", "_ord", F.struct(F.col("_c").alias("c"), F.get("relkey", F.col("_c") - 1).alias("o")).alias("_in")))
+    rest = hanging.join(sizes.where("oversized").select("subtree"), "subtree", "left_anti").select("node", "subtree", "key")
+    order = [(r["subtree"], r["size"]) for r in sizes.where("NOT oversized").orderBy("spot", "root_ord").collect()]
+    order += [(r["subtree"], r["n"]) for r in below.groupBy("subtree", "_spot", "_ord", "_in").agg(F.count("*").alias("n")).orderBy("_spot", "_ord", "_in").collect()]
+    more = [list(r["lp"]) for r in own.orderBy("_spot", "_ord").collect()]
+    return path, more, cut(rest.unionByName(below.select("node", "subtree", "key"))), order
 
 
 def partition_longest_path(edges: DataFrame, k: int, root: int | None = None) -> DataFrame:
@@ -311,7 +312,7 @@ def partition_longest_path(edges: DataFrame, k: int, root: int | None = None) ->
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    t, path, more, hanging, order = _decompose(edges, root)
+    path, more, hanging, order = _decompose(edges, root)
     spark = edges.sparkSession
     bins = pack_largest_first([s for _, s in order], max(1, k - 1))
     used = {b: n for n, b in enumerate(sorted(set(bins)))}
@@ -354,7 +355,7 @@ def partition_critical_path(edges: DataFrame, k: int, root: int | None = None) -
     smallest are merged.  Paths of split subtrees then join the cluster of a
     neighbour.
     """
-    t, path, more, hanging, order = _decompose(edges, root)
+    path, more, hanging, order = _decompose(edges, root)
     spark = edges.sparkSession
     parts: list[list[Piece]] = [[(s, 0, n)] for s, n in order]
     ends = segments(len(path), k) or [(0, len(path))]

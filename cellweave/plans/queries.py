@@ -23,11 +23,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+# Array columns become text, joined by commas, so that engines can be compared.
+
+
+def _flat(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({n: F.array_join(n, ",") for n, kind in df.dtypes if kind.startswith("array")})
+
+    return run
+
+
+def query(name: str, sql: str | None = None, arrays: str = ""):
+    """Register a query and its SQL; arrays names the SQL's array columns."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = _flat(f)
         if sql:
-            ORACLE_SQL[name] = sql
+            texts = ", ".join(f"array_to_string({a}, ',') AS {a}" for a in arrays.split())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({texts}) FROM ({sql}) AS flat" if texts else sql
         return f
 
     return add
@@ -111,7 +125,7 @@ for _name, _method in registry.PUBLIC.items():
     if _method == "spectral":
         query(_name)(lambda spark, _, n=_name: registry.public(spark, n, 20, 20, 4))
     else:
-        query(_name, _sql and f"SELECT cluster_id, list(cell_id ORDER BY cell_id) AS members FROM ({_sql}) AS a GROUP BY cluster_id")(lambda spark, _, n=_name: registry.public(spark, n, ROWS, COLS, K))
+        query(_name, _sql and f"SELECT cluster_id, list(cell_id ORDER BY cell_id) AS members FROM ({_sql}) AS a GROUP BY cluster_id", "members")(lambda spark, _, n=_name: registry.public(spark, n, ROWS, COLS, K))
 query("grid_partitioning_of_lists")(lambda spark, _: registry.grid_partitioning(spark, [[0] * 30 for _ in range(20)], 6))
 query("grid_from_lists", "SELECT (i // 4)::INT AS \"row\", (i % 4)::INT AS \"col\", i AS cell_id, (i * i)::BIGINT AS weight FROM range(12) r(i)")(lambda spark, _: grids.from_lists(spark, [[(r * 4 + c) ** 2 for c in range(4)] for r in range(3)]).withColumn("weight", F.col("weight").cast("bigint")))
 
@@ -143,11 +157,11 @@ def _some(spark: SparkSession) -> DataFrame:
 
 _SOME = f"WITH {_methods_sql(_FOUR)}"
 query("cluster_stats", f"{_SOME}, {measures.ADJACENT_SQL}, {measures.STATS_SQL} SELECT * FROM stats")(lambda spark, _: measures.statistics(measures.with_adjacent(_some(spark))))
-query("grid_borders", f"{_SOME}, {measures.ADJACENT_SQL} SELECT * FROM adjacent WHERE len(adjacent) > 0")(lambda spark, _: measures.borders(_some(spark)))
-query("border_cells_per_cluster", f"{_SOME}, {measures.ADJACENT_SQL} SELECT method, unnest(adjacent) AS cluster_id, count(*) AS border_cells FROM adjacent GROUP BY ALL")(lambda spark, _: measures.border_counts(_some(spark)))
+query("grid_borders", f"{_SOME}, {measures.ADJACENT_SQL} SELECT * FROM adjacent WHERE len(adjacent) > 0", "adjacent")(lambda spark, _: measures.borders(_some(spark)))
+query("border_cells_per_cluster", f"{_SOME}, {measures.ADJACENT_SQL} SELECT method, cluster_id, count(*) AS border_cells FROM (SELECT method, unnest(adjacent) AS cluster_id FROM adjacent) AS u GROUP BY ALL")(lambda spark, _: measures.border_counts(_some(spark)))
 query("cluster_sizes", f"{_SOME} SELECT method, cluster_id, count(*) AS size FROM cells GROUP BY ALL")(lambda spark, _: measures.sizes(_some(spark)))
 _EIGHT = " OR ".join(f"(b.\"row\" = a.\"row\" + {x} AND b.\"col\" = a.\"col\" + {y})" for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y)
-query("grid_borders_diagonal", f"WITH cells AS (SELECT 'honeycomb' AS method, * FROM ({_grid_sql('honeycomb')}) AS a) SELECT a.method, a.\"row\", a.\"col\", a.cell_id, a.cluster_id, list(DISTINCT b.cluster_id ORDER BY b.cluster_id) AS adjacent FROM cells a JOIN cells b ON b.cell_id - a.cell_id IN (-{COLS + 1}, -{COLS}, -{COLS - 1}, -1, 1, {COLS - 1}, {COLS}, {COLS + 1}) AND abs(a.\"col\" - b.\"col\") <= 1 AND a.cluster_id <> b.cluster_id GROUP BY ALL")(
+query("grid_borders_diagonal", f"WITH cells AS (SELECT 'honeycomb' AS method, * FROM ({_grid_sql('honeycomb')}) AS a) SELECT a.method, a.\"row\", a.\"col\", a.cell_id, a.cluster_id, list(DISTINCT b.cluster_id ORDER BY b.cluster_id) AS adjacent FROM cells a JOIN cells b ON b.cell_id - a.cell_id IN (-{COLS + 1}, -{COLS}, -{COLS - 1}, -1, 1, {COLS - 1}, {COLS}, {COLS + 1}) AND abs(a.\"col\" - b.\"col\") <= 1 AND a.cluster_id <> b.cluster_id GROUP BY ALL", "adjacent")(
     lambda spark, _: registry.with_adjacent(spark, ROWS, COLS, K, "honeycomb", 8).where(F.size("adjacent") > 0)
 )
 
@@ -219,7 +233,7 @@ query("average_weight", f"SELECT (sum(weight) // 9)::BIGINT AS avg_weight FROM (
 query("cluster_distribution", f"SELECT cluster_id, sum(weight)::BIGINT AS weight, count(*) AS cells, round(sum(weight) / sum(sum(weight)) OVER (), 6) AS share FROM ({_SEEDED}) AS s GROUP BY 1")(lambda spark, d: agents.cluster_distribution(_seeded(spark, d)))
 _BESIDE = "list_filter([lag(cluster_id) OVER x, lead(cluster_id) OVER x, lag(cluster_id) OVER y, lead(cluster_id) OVER y], lambda v: v IS NOT NULL)"
 _WIN = "WINDOW x AS (PARTITION BY i ORDER BY j), y AS (PARTITION BY j ORDER BY i)"
-query("neighbour_clusters", f"SELECT {_NAMES}, cluster_id, list_sort(list_distinct(list_append({_BESIDE}, cluster_id))) AS clusters FROM ({_SEEDED}) AS s {_WIN}")(
+query("neighbour_clusters", f"SELECT {_NAMES}, cluster_id, list_sort(list_distinct(list_append({_BESIDE}, cluster_id))) AS clusters FROM ({_SEEDED}) AS s {_WIN}", "clusters")(
     lambda spark, d: agents.surroundings(_seeded(spark, d)).select("row", "col", "cell_id", "cluster_id", F.array_sort(F.array_distinct(F.array_append("beside", F.col("cluster_id")))).alias("clusters"))
 )
 query(
@@ -281,7 +295,7 @@ _NEAR = f"near AS (SELECT *, {_AROUND} AS around FROM ({_BANDS}) AS b {_WIN})"
 _BORDER = "border AS (SELECT *, list_sort(list_distinct(around)) AS adjacent FROM near WHERE cell_type <> 'PORE' AND len(list_distinct(around)) >= 2)"
 _ADJ = "beside AS (SELECT *, list_filter(around, lambda v: v <> cluster_id)[1] AS other FROM near WHERE cell_type = 'PORE' AND len(list_filter(around, lambda v: v <> cluster_id)) > 0)"
 query("part_soil", f"SELECT {_NAMES}, cell_type FROM {_SOIL} AS s")(part_soil)
-query("soil_border_cells", f"WITH {_NEAR}, {_BORDER} SELECT {_NAMES}, adjacent FROM border")(lambda spark, d: soil.border_cells(_banded(spark, d)))
+query("soil_border_cells", f"WITH {_NEAR}, {_BORDER} SELECT {_NAMES}, adjacent FROM border", "adjacent")(lambda spark, d: soil.border_cells(_banded(spark, d)))
 query("soil_adjacent_pores", f"WITH {_NEAR}, {_ADJ} SELECT {_NAMES}, cluster_id, other FROM beside")(lambda spark, d: soil.adjacent_pores(_banded(spark, d)))
 query(
     "soil_per_cluster",
@@ -433,8 +447,8 @@ t AS (
   UNION ALL SELECT e.child::BIGINT, e.parent::BIGINT, e.ord::BIGINT, depth + 1, list_append(path, e.child::BIGINT), list_append(key, e.ord::BIGINT) FROM t JOIN e ON e.parent = t.node
 ), lp AS (SELECT path AS lp FROM t WHERE depth = (SELECT max(depth) FROM t) ORDER BY path LIMIT 1),
 off AS (SELECT node, key, len(list_filter(path, lambda v: list_contains(lp, v))) AS common, path FROM t, lp WHERE NOT list_contains(lp, node)),
-hang AS (SELECT node, path[common + 1] AS subtree, (common - 1)::INT AS at, key[common] AS root_ord FROM off),
-sizes AS (SELECT subtree, at, root_ord, count(*) AS size FROM hang GROUP BY ALL)"""
+hang AS (SELECT node, path[common + 1] AS subtree, (common - 1)::INT AS spot, key[common] AS root_ord FROM off),
+sizes AS (SELECT subtree, spot, root_ord, count(*) AS size FROM hang GROUP BY ALL)"""
 
 
 _TREES = {"a": trees.values_sql("tree_a"), "b": trees.values_sql("tree_b"), "replay": _REPLAY}
@@ -446,18 +460,18 @@ def _edges(spark: SparkSession, d: str, which: str) -> DataFrame:
 
 for _w, _edge_sql in _TREES.items():
     _with = f"WITH RECURSIVE {_tree_sql(_edge_sql)} "
-    query(f"tree_{_w}", _with + "SELECT node, parent, depth, path FROM t")(lambda spark, d, w=_w: dag.tree(_edges(spark, d, w)).select("node", "parent", "depth", "path"))
+    query(f"tree_{_w}", _with + "SELECT node, parent, depth, path FROM t", "path")(lambda spark, d, w=_w: dag.tree(_edges(spark, d, w)).select("node", "parent", "depth", "path"))
     query(f"longest_path_{_w}", _with + "SELECT unnest(lp) AS node, unnest(range(len(lp))) AS pos FROM lp")(
         lambda spark, d, w=_w: spark.createDataFrame([(int(n), p) for p, n in enumerate(dag.longest_path(dag.tree(_edges(spark, d, w))))], "node bigint, pos bigint")
     )
-    query(f"longest_paths_{_w}", _with + "SELECT path FROM t WHERE depth = (SELECT max(depth) FROM t)")(lambda spark, d, w=_w: dag.longest_paths(dag.tree(_edges(spark, d, w))))
+    query(f"longest_paths_{_w}", _with + "SELECT path FROM t WHERE depth = (SELECT max(depth) FROM t)", "path")(lambda spark, d, w=_w: dag.longest_paths(dag.tree(_edges(spark, d, w))))
 
     def _hanging(spark, d, w=_w):
         t = dag.cut(dag.tree(_edges(spark, d, w)))
         return dag.hanging_subtrees(t, dag.longest_path(t))
 
-    query(f"subtrees_{_w}", _with + "SELECT node, subtree, at, root_ord FROM hang")(lambda spark, d, h=_hanging: h(spark, d).select("node", "subtree", "at", "root_ord"))
-    query(f"subtree_sizes_{_w}", _with + ", m AS (SELECT avg(size) AS mean, median(size) AS med FROM sizes) SELECT subtree, at, root_ord, size, round(mean, 6) AS mean_size, med AS median_size, round((size - med) * 100 / med, 6) AS deviation_pct, abs((size - med) * 100 / med) > 150 AS oversized FROM sizes, m")(
+    query(f"subtrees_{_w}", _with + "SELECT node, subtree, spot, root_ord FROM hang")(lambda spark, d, h=_hanging: h(spark, d).select("node", "subtree", "spot", "root_ord"))
+    query(f"subtree_sizes_{_w}", _with + ", m AS (SELECT avg(size) AS mean, median(size) AS med FROM sizes) SELECT subtree, spot, root_ord, size, round(mean, 6) AS mean_size, med AS median_size, round((size - med) * 100 / med, 6) AS deviation_pct, abs((size - med) * 100 / med) > 150 AS oversized FROM sizes, m")(
         lambda spark, d, h=_hanging: dag.size_report(dag.subtree_sizes(h(spark, d))).withColumns({"mean_size": F.round("mean_size", 6), "deviation_pct": F.round("deviation_pct", 6)})
     )
     query(f"partition_longest_path_{_w}")(lambda spark, d, w=_w: dag.partition_longest_path(_edges(spark, d, w), 8))

@@ -118,9 +118,10 @@ def fractal_sql(d: Dialect, rows: int, cols: int, seed: int = SEED) -> str:
     for n in range(levels):
         mid_x, mid_y = d.div("x1 + x2", "2"), d.div("y1 + y2", "2")
         steps.append(f"m{n} AS (SELECT depth, path, x1, y1, x2, y2, {mid_x} AS mx, {mid_y} AS my, {value('v0', rough)} AS v FROM b{n} WHERE x2 - x1 >= 2 AND y2 - y1 >= 2)")
-        quarter = "SELECT {n} AS depth, path * 4 + {q} AS path, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2, v AS v0 FROM m{m}"
-        boxes = [("x1", "y1", "mx", "my"), ("mx", "y1", "x2", "my"), ("x1", "my", "mx", "y2"), ("mx", "my", "x2", "y2")]
-        steps.append(f"b{n + 1} AS ({' UNION ALL '.join(quarter.format(n=n + 1, q=q, m=n, x1=a, y1=b, x2=c, y2=e) for q, (a, b, c, e) in enumerate(boxes))})")
+        side = "CASE WHEN q % 2 = 0 THEN {0} ELSE {1} END".format
+        level = "CASE WHEN q < 2 THEN {0} ELSE {1} END".format
+        box = f"{side('x1', 'mx')} AS x1, {level('y1', 'my')} AS y1, {side('mx', 'x2')} AS x2, {level('my', 'y2')} AS y2"
+        steps.append(f"b{n + 1} AS (SELECT {n + 1} AS depth, path * 4 + q AS path, {box}, v AS v0 FROM m{n} CROSS JOIN {d.numbers(4, 'q')} AS quarters)")
         rough *= 0.7
     drawn = " UNION ALL ".join(f"SELECT mx, my, v, path * {4 ** (levels - n)} * {levels + 1} + {n} AS ord FROM m{n}" for n in range(levels))
     last = "SELECT mx, my, max_by(v, ord) AS v FROM drawn GROUP BY mx, my"
