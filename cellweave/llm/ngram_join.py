@@ -58,20 +58,12 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _gram_runs(bits: int):
-    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The grams of each set of a chunk, sorted, as one run a bucket."""
-        for batch in batches:
-            per: dict[int, dict[bytes, np.ndarray]] = {}
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g = shingles(text)
-                if len(g):
-                    per.setdefault(c, {})[xxhash.xxh3_128_digest(g.tobytes())] = g
-            rows = []
-            for c, sets in per.items():
-                own = np.sort(np.concatenate(list(sets.values())))
-                keys = _keys(own, bits)
-                rows += [(b, c, keys[i:j].tobytes()) for b, i, j in runs.slices(own, bits)]
-            yield from _table(rows, _RUN).to_batches()
+    def flush(key, docs):
+        """The grams of each set of a chunk, sorted, as one run a bucket; equal sets count once."""
+        sets = {g.tobytes(): g for g in map(shingles, docs["text"].to_pylist()) if len(g)}
+        own = np.sort(np.concatenate(list(sets.values()) or [np.empty(0, np.uint64)]))
+        keys = _keys(own, bits)
+        return _table([(b, key[0].as_py(), keys[i:j].tobytes()) for b, i, j in runs.slices(own, bits)], _RUN)
 
     return flush
 
@@ -254,11 +246,14 @@ def join(docs: DataFrame, seed: int = 0) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    known = text.where("doc_id IS NOT NULL").select(runs.chunk(F.col("doc_id")).alias("chunk"), "doc_id", "text")
-    bits = min(31, runs.bucket_bits(known, 1 / 12))
-    grams = known.select("chunk", "text").mapInArrow(_gram_runs(bits), "bucket int, chunk bigint, run binary")
+    known = text.where("doc_id IS NOT NULL")
+    number, text_bytes = runs.size(known)
+    bits = min(31, runs.bucket_bits(text_bytes, 1 / 12))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, number // runs.PER_CHUNK)).cast("bigint"))
+    by_chunk = known.select(chunk.alias("chunk"), "doc_id", "text").groupBy("chunk")
+    grams = by_chunk.applyInArrow(_gram_runs(bits), "bucket int, chunk bigint, run binary")
     counted = grams.groupBy("bucket").applyInArrow(_count, BACK)
-    rows, path = written(known.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(bits, seed), ROWS))
+    rows, path = written(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(bits, seed), ROWS))
     try:
         named = rows.where("check IS NOT NULL OR n = 0").select("doc_id", "n", "cid", "check")
         classes = named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"), (F.min("check") != F.max("check")).alias("_clash"))

@@ -2,8 +2,8 @@
 
 A task hashes the words of its documents with numpy and emits, for each bucket
 of the hash range, one row with a sorted array as bytes.  Rows are few and
-arrays dense, so 100 million hashes travel in a few hundred MB.  A chunk is a
-span of doc_ids; a hash that many documents of a chunk share travels once.
+arrays dense, so 100 million hashes travel in a few hundred MB.  Documents are
+dealt out in chunks; a hash that many documents of a chunk share travels once.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents with one doc_id >> CHUNK_BITS form a chunk, so a smaller chunk has smaller doc_ids.
-CHUNK_BITS = 7
+#: Documents that a chunk is meant to hold.
+PER_CHUNK = 128
 #: Hashes that a bucket is meant to hold.
 PER_BUCKET = 500_000
 LEAST_BITS = 6
@@ -25,14 +25,33 @@ LEAST_BITS = 6
 _word = xxhash.xxh3_64_intdigest
 
 
-def chunk(doc_id: Column) -> Column:
-    return F.shiftright(doc_id.cast("bigint"), CHUNK_BITS)
+def chunk_bits(docs: DataFrame) -> int:
+    """Bits for ``doc_id >> bits``, by which a smaller chunk has smaller doc_ids, with about PER_CHUNK documents a chunk.
 
+    They come from the density of ids; where ids lie so unevenly that a chunk
+    gets over eight times as many, fewer bits are taken, down to the 7 with
+    which a chunk has no more ids than meant.
+    """
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    least = PER_CHUNK.bit_length() - 1
+    bits = max(least, int(math.log2(max(1.0, PER_CHUNK * (high - low + 1) / n)))) if n else least
+    while bits > least:
+        most = docs.groupBy(F.shiftright("doc_id", bits)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most <= 8 * PER_CHUNK:
+            break
+        bits = max(least, bits - 3)
+    return bits
 
-def bucket_bits(docs: DataFrame, hashes_per_byte: float) -> int:
-    """Bits of the bucket number, from the bytes of all texts, so that buckets stay the same size at any scale."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(LEAST_BITS, math.ceil(math.log2(max(1.0, total * hashes_per_byte / PER_BUCKET))))
+
+def size(docs: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text."""
+    rows, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return rows, total or 0
+
+
+def bucket_bits(text_bytes: int, hashes_per_byte: float) -> int:
+    """Bits of the bucket number, so that buckets stay the same size at any scale."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(1.0, text_bytes * hashes_per_byte / PER_BUCKET))))
 
 
 def tokens(text: str | None, lower: bool = False) -> list[bytes]:

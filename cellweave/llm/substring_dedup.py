@@ -42,18 +42,11 @@ _BACK = pa.schema([("chunk", pa.int64()), ("run", pa.binary())])
 
 
 def _anchor_runs(window: int, bits: int):
-    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            per: dict[int, list[np.ndarray]] = {}
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.unique(_anchors(runs.word_hashes(runs.tokens(text)), window))
-                if len(found):
-                    per.setdefault(c, []).append(found)
-            rows = []
-            for c, arrays in per.items():
-                own = np.unique(np.concatenate(arrays))
-                rows += [(b, c, own[i:j].tobytes()) for b, i, j in runs.slices(own, bits)]
-            yield from _out(rows, _RUN).to_batches()
+    def flush(key, docs):
+        """The anchors of a chunk's windows, each once, as a sorted run a bucket."""
+        found = [np.unique(_anchors(runs.word_hashes(runs.tokens(t)), window)) for t in docs["text"].to_pylist()]
+        own = np.unique(np.concatenate(found))
+        return _out([(b, key[0].as_py(), own[i:j].tobytes()) for b, i, j in runs.slices(own, bits)], _RUN)
 
     return flush
 
@@ -175,11 +168,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         raise ValueError("window must be at least 1")
     small_batches(docs.sparkSession)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    known = text.where("doc_id IS NOT NULL").select(runs.chunk(F.col("doc_id")).alias("chunk"), "doc_id", "text")
-    bits = runs.bucket_bits(known, 1 / 30)
-    anchors = known.select("chunk", "text").mapInArrow(_anchor_runs(window, bits), RUN)
-    shared = anchors.groupBy("bucket").applyInArrow(_merge_anchors, "chunk bigint, run binary")
+    known = text.where("doc_id IS NOT NULL")
+    bits = runs.bucket_bits(runs.size(known)[1], 1 / 30)
+    known = known.select(F.shiftright("doc_id", runs.chunk_bits(known)).alias("chunk"), "doc_id", "text")
     by_chunk = known.groupBy("chunk")
+    anchors = by_chunk.applyInArrow(_anchor_runs(window, bits), RUN)
+    shared = anchors.groupBy("bucket").applyInArrow(_merge_anchors, "chunk bigint, run binary")
     windows = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_window_runs(window, bits), RUN)
     hits = windows.groupBy("bucket").applyInArrow(_merge_windows, "chunk bigint, run binary")
     out = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(_remove(window, with_text), RESULT)
