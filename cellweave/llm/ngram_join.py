@@ -100,7 +100,8 @@ def _prefixes(bits: int, seed: int):
             for name, column in columns.items():
                 column.append(values.get(name))
 
-        for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        # In the order of ids, so that of a set's documents in the chunk the smallest stands for it.
+        for doc_id, text in sorted(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True), key=lambda x: x[0]):
             g = shingles(text)
             n = len(g)
             if not n:
