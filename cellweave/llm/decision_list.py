@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,7 @@ def learn(rows: list, most_rules: int = 16, most_conditions: int = 4, least_prec
     ``least_precision`` of what it newly covers is bad.  Rows without either
     class give no rule.
     """
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_y"]))
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_y"]))
     if not any(r["_y"] == 0 for r in rows) or all(r["_y"] == 0 for r in rows):
         return []
     candidates = _candidates(rows, cuts)

@@ -101,8 +101,10 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def slices(ordered: np.ndarray, bits: int):
     """(bucket, from, to) of the buckets that a sorted array of hashes meets."""
+    if not len(ordered):
+        return
     bucket = (ordered >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
         yield int(bucket[a]), a, b
 
@@ -117,8 +119,10 @@ def gathered(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def dealt(chunks: np.ndarray, place: np.ndarray):
     """(chunk, indexes) for each chunk that has any of the entries."""
+    if not len(place):
+        return
     order = np.argsort(place, kind="stable")
     at = place[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
         yield int(chunks[at[a]]), order[a:b]
