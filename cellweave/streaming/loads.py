@@ -15,5 +15,5 @@ def cluster_loads(events: DataFrame, rows: int, cols: int, k: int, method: str,
     count a window and cluster; events later than ``late`` are dropped by the
     watermark.  Works on a stream and on a table.
     """
-    marked = events.withColumn("cluster_id", cluster_at(method, rows, cols, k, seed, "cast(row as bigint)", "cast(col as bigint)"))
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("cluster_id", cluster_at(method, rows, cols, k, seed, "cast(row as bigint)", "cast(col as bigint)"))
     return marked.withWatermark("ts", late).groupBy(F.window("ts", window).alias("window"), "cluster_id").agg(F.count("*").alias("load"))
