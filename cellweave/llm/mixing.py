@@ -94,9 +94,10 @@ def land(p: list[float], sizes: list[float]) -> None:
 
 def _fly(seed: int, last: bool):
     def block(key, table):
-        order, rid = table["_order"].to_pylist(), table["_rid"].to_pylist()
-        rows = sorted(range(len(rid)), key=lambda i: (order[i], rid[i]))
+        order, rid, ids = (table[c].to_pylist() for c in ("_order", "_rid", "doc_id"))
         start, size = table["_p"].to_pylist(), table["size"].to_pylist()
+        # The place in the scan orders only rows alike in doc_id and size, so another layout draws the same.
+        rows = sorted(range(len(rid)), key=lambda i: (order[i], ids[i] is None, ids[i] or 0, size[i], rid[i]))
         p, sizes = [start[i] for i in rows], [float(size[i]) for i in rows]
         flight(p, sizes, random.Random(f"{seed}/{key[0].as_py()}/{key[1].as_py()}"))
         if last:
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
     Null text: size 0.  Null source: a source of its own, the last.  A source of
     size 0: never taken.  Null or repeated doc_ids: rows are decided apart.
     Empty table: empty result.  docs' other columns are not read.  Reruns agree
-    for one layout of the input; seed changes the draw.
+    for any layout of the input, but for null doc_ids; seed changes the draw.
     """
     sizes = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), words_in(docs).alias("size"), F.monotonically_increasing_id().alias("_rid"))
     sizes = cut(sizes)
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
     met = sizes.join(F.broadcast(aims) if few else aims, same).select(sizes["doc_id"], sizes["source"], "size", "_rid", "source_size", "source_rows", "target")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(mean + F.lit(EPS))
-    order = F.xxhash64(F.lit(seed), "doc_id", "size", "_rid")
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("_rid")))
     state = met.withColumns({"_whole": whole.cast("int"), "_p": F.greatest(mean - whole, F.lit(0.0)), "_order": order, "_rows": F.col("source_rows")}).select(*STATE)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
     done: DataFrame | None = None
