@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import DUCK, SPARK
 from ..functions.rng import bits_sql
 from ..operators import agents, dag, graph, grid_centres, grid_walks, measures, points, soil
-from ..operators.grid_forms import FORMS, boxes_bsp, perlin, phyllotaxis_seeds
+from ..operators.grid_forms import FORMS, boxes_bsp, perlin_query, phyllotaxis_seeds
 from ..sources import grids, sinks, trees
 from ..sources import points as point_sets
 from . import registry
@@ -89,7 +89,7 @@ def _grid_sql(method: str) -> str | None:
     if method in FORMS:
         return f"SELECT {_NAMES}, cast({FORMS[method](DUCK, ROWS, COLS, K, 'i', 'j')} as bigint) AS cluster_id FROM {_CELLS} AS g"
     if method == "perlin":
-        return f"SELECT {_NAMES}, cast({perlin(DUCK, ROWS, COLS, K, 'i', 'j')} as bigint) AS cluster_id FROM {_CELLS} AS g"
+        return f"SELECT {_NAMES}, cluster_id FROM ({perlin_query(DUCK, _CELLS, K)}) AS g"
     if method == "phyllotaxis":
         return _nearest_sql(_values(phyllotaxis_seeds(ROWS, COLS, K)), "r, c, k", _SQUARE)
     if method == "voronoi_weighted":

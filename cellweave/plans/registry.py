@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
 from ..operators import graph, grid_centres, grid_walks, measures
-from ..operators.grid_forms import FORMS, perlin, phyllotaxis_seeds
-from ..sources.grids import cells
+from ..operators.grid_forms import FORMS, perlin_query, phyllotaxis_seeds
+from ..sources.grids import cells, cells_sql
 
 #: Methods whose cluster is a function of the centres and the cell: rows, cols, k, seed, row, col -> Column.
 CENTRES: dict[str, Callable[..., Column]] = {
@@ -52,7 +52,8 @@ def partition_grid(spark: SparkSession, rows: int, cols: int, k: int, method: st
     if method in FORMS or method in CENTRES:
         return cells(spark, rows, cols).withColumn("cluster_id", cluster_at(method, rows, cols, k, seed, "cast(row as bigint)", "cast(col as bigint)"))
     if method == "perlin":
-        return cells(spark, rows, cols).withColumn("cluster_id", F.expr(perlin(SPARK, rows, cols, k, "row", "col", seed)).cast("bigint"))
+        made = spark.sql(perlin_query(SPARK, cells_sql(SPARK, rows, cols), k, seed))
+        return made.select(F.col("i").cast("int").alias("row"), F.col("j").cast("int").alias("col"), "cell_id", "cluster_id")
     if method == "kmeans":
         starts = [divmod(c, cols) for c in grid_centres.start_cells(rows * cols, k, seed)]
         return grid_centres.compact(grid_centres.lloyd(cells(spark, rows, cols), ["row", "col"], starts, truncate=True)[0])
