@@ -351,7 +351,18 @@ query(
     f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {_SPARSE} UNION SELECT dst, src FROM {_SPARSE}),
 r AS (SELECT a AS id, a AS to FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.to = e.a) SELECT id, min(to) AS component FROM r GROUP BY id""".replace(" AS to", " AS t").replace("r.to", "r.t").replace("min(to)", "min(t)"),
 )(lambda spark, d: graph.components(graph.vertices_of(_sparse(spark, d)), _sparse(spark, d)))
-query("supply_components")(lambda spark, d: graph.components(graph.vertices_of(supply_graph(spark, d)), supply_graph(spark, d)))
+query(
+    "supply_components",
+    """WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem), e AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
+r AS (
+  SELECT DISTINCT a AS id, a AS t, 0 AS p FROM e
+  UNION ALL
+  SELECT id, t, p FROM (
+    SELECT *, bool_or(t < old) OVER () AS moved
+    FROM (SELECT o.id, o.t AS old, o.p + 1 AS p, least(o.t, min(n.t)) AS t FROM r o JOIN e ON e.a = o.id JOIN r n ON n.id = e.b GROUP BY o.id, o.t, o.p) AS s
+  ) AS m WHERE moved
+) SELECT id, arg_max(t, p) AS component FROM r GROUP BY id""",
+)(lambda spark, d: graph.components(graph.vertices_of(supply_graph(spark, d)), supply_graph(spark, d)))
 query("graph_layout")(lambda spark, _: graph.layout(_tree(spark), N))
 query("graph_kmeans_layout")(lambda spark, _: graph.kmeans_layout(graph.layout(_tree(spark), N), 5, N))
 query("graph_label_propagation")(lambda spark, _: graph.label_propagation(spark.range(N), _tree(spark), 5))

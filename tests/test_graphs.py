@@ -1,6 +1,7 @@
 """Trees, DAGs, graphs and points."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,47 @@ def test_graph_clusterings(spark):
         assert sorted(r.id for r in way.collect())[:8] == list(range(8))
 
 
+def _reached(vertices, pairs):
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for v in sorted(vertices):
+        todo = [] if v in out else [v]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = v
+                todo += near[x]
+    return out
+
+
+def test_components_against_brute_force(spark):
+    r = random.Random(1)
+    pairs = sorted({(r.randrange(30), 100 + r.randrange(40)) for _ in range(30)}) + [(200 + n, 201 + n) for n in range(40)] + [(300, 300)]
+    vertices = {v for p in pairs for v in p} | {500, 501}
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    got = graph.components(spark.createDataFrame([(v,) for v in vertices], "id bigint"), edges).collect()
+    want = _reached(vertices, pairs)
+    assert len(got) == len(want) and {x.id: x.component for x in got} == want and len(set(want.values())) > 5
+
+
+def test_components_of_the_whole_table_have_sql(spark, tmp_path):
+    import __spark_entry__ as e
+
+    # Orders and lines that no modulo of keys would leave in; 7-1007 and 8-1008 are components of their own.
+    lines = [(1, 1, 1, 1001), (1, 2, 1, 1002), (2, 3, 2, 1002), (51, 2, 3, 1001), (3, 1, 7, 1007), (50, 1, 8, 1008)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(x.id, x.component) for x in e.queries()["supply_components"](spark, str(tmp_path)).collect()}
+    base = 10**9
+    assert got == set(_reached({v for x in lines for v in (x[2], x[3] + base)}, [(x[2], x[3] + base) for x in lines]).items())
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert set(db.execute(e.oracle_sql()["supply_components"]).fetchall()) == got
+
+
 def _by(df):
     out = collections.defaultdict(list)
     for r in df.collect():
