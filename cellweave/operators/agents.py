@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -51,60 +52,79 @@ def coherence(cells: DataFrame) -> DataFrame:
     return surroundings(cells).withColumn("coherence", share_of(F.col("around"), F.col("cluster_id"), 1)).drop("around", "beside")
 
 
-def refine(cells: DataFrame, k: int, rounds: int = 9, frontier: float = 0.0, spatial: float = 3.0, least: float = 0.0, weight: str | None = "weight") -> DataFrame:
-    """Move cells to clusters beside them while that helps.
+def refine(cells: DataFrame, k: int, rounds: int = 900, frontier: float = 0.0, spatial: float = 3.0, least: float = 0.0, weight: str | None = "weight") -> DataFrame:
+    """Move cells to clusters beside them while that helps; nine rounds are a pass over all cells, and a pass without a move ends it.
 
     Rounds take the cells of one colour of ``(row % 3, col % 3)``, so no two
-    moving cells see each other; of each pair of clusters the best move is made,
-    so weights stay exact.  The gain is ``spatial`` times the new coherence (for
+    moving cells see each other; only loads tie them.  The driver gets the
+    round's cells at borders and makes all moves that help, the best first,
+    with exact loads.  The gain is ``spatial`` times the new coherence (for
     agents the change of it) plus ``frontier`` times the change of the share of
     like neighbours, plus the balance: for weights the fall of both clusters'
     distance from the mean; for agents (``weight`` None) 1 if counts differ by
     over 2 the right way, -1 the wrong way.  A cluster is never emptied.
+
+    Such gains can run in circles.  A pass follows from the assignment alone, so
+    once one returns (a 128-bit digest tells), whole circles are skipped: the
+    result is that of all ``rounds``.
     """
-    state = cut(cells)
-    quiet = 0
-    for n in range(rounds):
-        value = F.col(weight) if weight else F.when(F.col("cluster_id").isNotNull(), 1).otherwise(0)
-        loads = {r["cluster_id"]: (r["w"], r["n"]) for r in state.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.sum(value).alias("w"), F.count("*").alias("n")).collect()}
-        mean = sum(w for w, _ in loads.values()) // max(1, k)
-        table = F.create_map(*[F.lit(x) for c, (w, _) in loads.items() for x in (int(c), int(w))])
-        counts = F.create_map(*[F.lit(x) for c, (_, m) in loads.items() for x in (int(c), int(m))])
-        load = lambda c: F.element_at(table, c)  # noqa: E731, B023
-        colour = (F.col("row") % 3 == n % 3) & (F.col("col") % 3 == n // 3 % 3) & F.col("cluster_id").isNotNull()
-        seen = surroundings(state).where(colour).where(F.element_at(counts, F.col("cluster_id")) > 1)
-        own = F.col("cluster_id")
-
-        def gain(new: Column) -> Column:
-            if weight:
-                w = F.col(weight)
-                away = lambda x: F.abs(x - F.lit(mean))  # noqa: E731, B023
-                balance = away(load(own)) + away(load(new)) - away(load(own) - w) - away(load(new) + w)  # noqa: B023
-                return spatial * share_of(F.col("around"), new) + balance
-            differ = load(own) - load(new)  # noqa: B023
-            balance = F.when(differ > 2, 1).when(differ < -2, -1).otherwise(0)
-            like = lambda c: F.when(F.size("beside") > 0, F.size(F.filter("beside", lambda x: x == c)) / F.size("beside")).otherwise(F.lit(0.0))
-            return frontier * (like(new) - like(own)) + spatial * (share_of(F.col("around"), new) - share_of(F.col("around"), own, 1)) + balance  # noqa: B023
-
-        options = F.transform(F.array_except(F.array_distinct("beside"), F.array(own)), lambda c: F.struct((-gain(c)).alias("loss"), c.alias("to")))
-        moves = seen.select("row", "col", own.alias("from"), F.array_min(options).alias("m")).where(F.col("m.loss") < -least)
-        best = moves.groupBy(F.least("from", F.col("m.to")).alias("a"), F.greatest("from", F.col("m.to")).alias("b")).agg(F.min_by(F.struct("row", "col", "from", F.col("m.to").alias("to")), F.struct("m.loss", "row", "col")).alias("x"), F.min("m.loss").alias("loss"))
-        # One move a cluster and round: pairs in the order of gain, each cluster in one pair.
-        made, used = [], set()
-        for r in sorted(best.collect(), key=lambda r: (r["loss"], r["a"], r["b"])):
-            if not used & {r["a"], r["b"]}:
-                used |= {r["a"], r["b"]}
-                made.append((r["x"]["row"], r["x"]["col"], r["x"]["to"]))
-        quiet = 0 if made else quiet + 1
+    base = cut(cells)
+    spark, own = base.sparkSession, F.col("cluster_id")
+    value = F.coalesce(F.col(weight), F.lit(0)) if weight else F.lit(1)
+    loads, counts = {}, {}
+    for r in base.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.sum(value).alias("w"), F.count("*").alias("n")).collect():
+        loads[r["cluster_id"]], counts[r["cluster_id"]] = r["w"], r["n"]
+    mean = sum(loads.values()) // max(1, k)
+
+    def fixed(new: Column) -> Column:
+        if weight:
+            return spatial * share_of(F.col("around"), new)
+        like = lambda c: F.when(F.size("beside") > 0, F.size(F.filter("beside", lambda x: x == c)) / F.size("beside")).otherwise(F.lit(0.0))
+        return frontier * (like(new) - like(own)) + spatial * (share_of(F.col("around"), new) - share_of(F.col("around"), own, 1))
+
+    def balance(old, new, w) -> float:
+        if weight:
+            return abs(loads[old] - mean) + abs(loads[new] - mean) - abs(loads[old] - w - mean) - abs(loads[new] + w - mean)
+        differ = loads[old] - loads[new]
+        return (differ > 2) - (differ < -2)
+
+    def best(r):
+        return max((o["gain"] + balance(r["from"], o["to"], r["w"]), -o["to"]) for o in r["options"])
+
+    options = F.transform(F.array_except(F.array_distinct("beside"), F.array(own)), lambda c: F.struct(c.alias("to"), fixed(c).alias("gain")))
+    digest_of = lambda row, col, c: int.from_bytes(hashlib.md5(f"{row},{col},{c}".encode()).digest())
+    state, moved, quiet, n, digest, met = base, [], 0, 0, 0, {0: 0}
+    while n < rounds:
+        colour = (F.col("row") % 3 == n % 3) & (F.col("col") % 3 == n // 3 % 3) & own.isNotNull()
+        seen = surroundings(state).where(colour).select("row", "col", own.alias("from"), value.alias("w"), options.alias("options")).where(F.size("options") > 0)
+        before = len(moved)
+        for r in sorted(seen.collect(), key=lambda r: (*(-x for x in best(r)), r["row"], r["col"])):
+            gain, to = best(r)
+            if gain > least and counts[r["from"]] > 1:
+                for c, sign in ((r["from"], -1), (-to, 1)):
+                    loads[c] += sign * r["w"]
+                    counts[c] += sign
+                moved.append((r["row"], r["col"], -to))
+                digest ^= digest_of(r["row"], r["col"], r["from"]) ^ digest_of(r["row"], r["col"], -to)
+        quiet = 0 if len(moved) > before else quiet + 1
         if quiet == 9:
             break
-        if made:
-            change = state.sparkSession.createDataFrame(made, "row int, col int, _to bigint")
-            state = cut(state.join(F.broadcast(change), ["row", "col"], "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).select(*cells.columns))
+        if len(moved) > before:
+            change = spark.createDataFrame(moved, "row int, col int, _to bigint")
+            state = base.join(F.broadcast(change), ["row", "col"], "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).select(*cells.columns)
+        if n % 9 == 8 and moved:
+            base = state = cut(state)
+            moved = []
+        n += 1
+        if n % 9 == 0:
+            circle = n - met.setdefault(digest, n)
+            if circle:
+                n += (rounds - n) // circle * circle
+                met = {}
     return state
 
 
-def partition_weighted(cells: DataFrame, rows: int, cols: int, k: int, rounds: int = 9) -> DataFrame:
+def partition_weighted(cells: DataFrame, rows: int, cols: int, k: int, rounds: int = 900) -> DataFrame:
     """(row, col, cell_id, weight, cluster_id)."""
     return refine(seeded(cells, rows, cols, k), k, rounds)
 
@@ -155,7 +175,7 @@ def nearest_points(points: DataFrame, targets: list[tuple[float, float]]) -> lis
     return out
 
 
-def partition_agents(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 0) -> DataFrame:
+def partition_agents(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 450) -> DataFrame:
     """(row, col, cell_id, cluster_id) of the agents: seeds near lattice points, sizes that differ by one at most, then refinement."""
     agents = cut(mask.where("is_agent").select("row", "col", "cell_id"))
     side = math.ceil(math.sqrt(k))
@@ -182,7 +202,7 @@ def region_centres(rows: int, cols: int, k: int) -> list[tuple[int, int]]:
     return [((t + b) // 2, (left + r) // 2) for t, left, b, r in boxes[:k]]
 
 
-def partition_agents_frontier(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 0) -> DataFrame:
+def partition_agents_frontier(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 1800) -> DataFrame:
     """Like ``partition_agents``, from seeds in halved regions, and refined with weight on short frontiers."""
     agents = cut(mask.where("is_agent").select("row", "col", "cell_id"))
     return _partitioned(mask, agents, region_centres(rows, cols, k), k, rounds, 5.0, 3.0, 0.05)

@@ -249,8 +249,8 @@ round(avg(CASE WHEN b.cluster_id = a.cluster_id THEN 1 ELSE 0 END), 6) AS cohere
 FROM s a JOIN s b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 AND a.cell_id <> b.cell_id GROUP BY ALL""",
 )(lambda spark, d: agents.coherence(_seeded(spark, d)).select("row", "col", "cell_id", "cluster_id", F.round("coherence", 6).alias("coherence")))
 query("missing_clusters", f"SELECT range AS cluster_id FROM range(12) ANTI JOIN ({_SEEDED}) AS s ON range = cluster_id")(lambda spark, d: agents.missing_clusters(_seeded(spark, d), 12))
-query("agents_lattice")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4, rounds=9))
-query("agents_frontier")(lambda spark, d: agents.partition_agents_frontier(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 8, rounds=9))
+query("agents_lattice")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4))
+query("agents_frontier")(lambda spark, d: agents.partition_agents_frontier(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 8))
 _AGENTS = f"SELECT i, j, cell_id, CASE WHEN is_agent THEN (i // 10 * 3 + j // 8)::BIGINT END AS cluster_id FROM {_EVENTS} AS e"
 
 

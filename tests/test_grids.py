@@ -106,6 +106,64 @@ def test_weighted_refinement_keeps_cells(spark):
     assert got.count() == 144 and got.select("cluster_id").distinct().count() == 4
 
 
+def plain_refine(cells, k, passes, frontier=0.0, spatial=3.0, least=0.0, weights=None):
+    """cells: {(row, col): cluster or None}; refinement cell by cell in plain Python."""
+    at, w = dict(cells), weights or dict.fromkeys(cells, 1)
+    load, count = {}, {}
+    for p, c in at.items():
+        if c is not None:
+            load[c], count[c] = load.get(c, 0) + w[p], count.get(c, 0) + 1
+    mean = sum(load.values()) // k
+
+    def best(p):
+        r, c = p
+        own = at[p]
+        beside = [at.get(q) for q in ((r, c - 1), (r, c + 1), (r - 1, c), (r + 1, c)) if at.get(q) is not None]
+        around = [at.get((r + a, c + b)) for a in range(-2, 3) for b in range(-2, 3) if (a or b) and at.get((r + a, c + b)) is not None]
+        like = lambda x: beside.count(x) / len(beside)
+        near = lambda x: around.count(x) / len(around)
+        out = []
+        for x in set(beside) - {own}:
+            if weights:
+                off = lambda v: abs(v - mean)
+                g = spatial * near(x) + off(load[own]) + off(load[x]) - off(load[own] - w[p]) - off(load[x] + w[p])
+            else:
+                g = frontier * (like(x) - like(own)) + spatial * (near(x) - near(own)) + (load[own] - load[x] > 2) - (load[own] - load[x] < -2)
+            out.append((g, -x))
+        return max(out, default=None)
+
+    for _ in range(passes):
+        moves = 0
+        for n in range(9):
+            mine = [(p, best(p)) for p in at if at[p] is not None and (p[0] % 3, p[1] % 3) == (n % 3, n // 3)]
+            for p, _b in sorted((m for m in mine if m[1]), key=lambda m: (-m[1][0], -m[1][1], m[0])):
+                g, x = best(p)
+                if g > least and count[at[p]] > 1:
+                    for c, sign in ((at[p], -1), (-x, 1)):
+                        load[c] += sign * w[p]
+                        count[c] += sign
+                    at[p], moves = -x, moves + 1
+        if not moves:
+            break
+    return at
+
+
+def test_refinement_runs_all_passes(spark):
+    """Default limits, against plain Python, which does not skip circles."""
+    size = 9
+    cells = grids.weights(spark, "gradient", size, size).withColumn("weight", F.col("cell_id") % 7 + F.col("row"))
+    start = agents.seeded(cells, size, size, 4).collect()
+    got = {(r.row, r.col): r.cluster_id for r in agents.partition_weighted(cells, size, size, 4).collect()}
+    assert got == plain_refine({(r.row, r.col): r.cluster_id for r in start}, 4, 100, weights={(r.row, r.col): r.weight for r in start})
+
+    mask = spark.sql(grids.random_mask_sql(grids.SPARK, 14, 14, 0.6))
+    none = {(r.row, r.col): None for r in mask.collect()}
+    for way, passes, *gains in ((agents.partition_agents, 50, 0.0, 1.0, 0.1), (agents.partition_agents_frontier, 200, 5.0, 3.0, 0.05)):
+        begun = none | {(r.row, r.col): r.cluster_id for r in way(mask, 14, 14, 4, rounds=0).collect()}
+        want = plain_refine(begun, 4, passes, *gains)
+        assert {(r.row, r.col): r.cluster_id for r in way(mask, 14, 14, 4).collect()} == {p: c for p, c in want.items() if c is not None}
+
+
 def test_soil(spark):
     cells = spark.createDataFrame([(0, 0, 0, "PORE"), (0, 1, 1, "MINERAL"), (0, 2, 2, "PORE"), (1, 0, 3, "PORE"), (1, 1, 4, "PORE"), (1, 2, 5, "PORE")], "row int, col int, cell_id bigint, cell_type string")
     fixed = cells.withColumn("cluster_id", F.expr("CASE cell_id WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 1 END").cast("bigint"))
