@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_of
+from .common import cut, let, looked_up, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on each side of an entity in which a term counts as standing beside it.
-REACH = 48
-#: Texts in which a term must stand beside entities of a kind before its disclosure is judged.
-LEAST_TEXTS = 5
+#: Texts of the average share of entities that are added to a term's own texts, so that a term of few texts is judged with care, not left out.
+PRIOR = 1.0
 #: A term is disclosing if its pointwise mutual information with a kind reaches this share of the kind's information content.
 ALPHA = 0.9
-TERM = r"\p{L}{4,}+"
+#: A term is a run of letters outside all spans, of any length, in lower case.
+TERM = r"\p{L}++"
 #: Private-use characters that stand in for a joiner, and for the same character in the text itself.
 JOIN, OWN = "\ue000", "\ue001"
 
@@ -95,66 +94,79 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """Terms beside each span: array of (kind, term, start, end), whole words of TERM that touch no span."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for all spans, as long in code points as before."""
 
-    def near(span: Column) -> Column:
-        low = F.greatest(span["start"] - REACH, F.lit(0))
-        before = F.substr(text, (low + 1).cast("int"), (span["start"] - low).cast("int"))
-        # A word cut by the window's edge is left out.
-        trimmed = F.when(low > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]*+", "")).otherwise(before)
-        after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(REACH))
-        whole = F.when(span["end"] + REACH < F.length(text), F.regexp_replace(after, r"[^\x20\x09-\x0D]*+$", "")).otherwise(after)
-        terms = lambda t, at: let(F.struct(t.alias("t"), at.alias("at")), lambda x: F.transform(_spans(x["t"], TERM, "term"), lambda s: F.struct(span["kind"].alias("kind"), F.lower(F.substr(x["t"], (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("term"), (x["at"] + s["start"]).alias("start"), (x["at"] + s["end"]).alias("end"))))
-        return F.concat(terms(trimmed, span["start"] - F.length(trimmed)), terms(whole, span["end"]))
+    def step(acc: Column, s: Column) -> Column:
+        low = F.greatest(s["start"], acc["at"])
+        pieces = F.array(F.substr(text, (acc["at"] + 1).cast("int"), (low - acc["at"]).cast("int")), F.repeat(F.lit(" "), (s["end"] - low).cast("int")))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], pieces).alias("out")))
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rest = lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), F.length(text)))), "")
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, first, step, rest)).otherwise(text)
 
-    free = lambda x: ~F.exists(spans, lambda s: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-    return F.array_distinct(F.filter(F.flatten(F.transform(spans, near)), free))
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, t, spans), rows numbered by their place in the scan."""
+    base = docs.select(docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(docs).alias("t"))
+    spans = base_spans(F.col("t"))
+    return base.select("doc_id", "rid", "t", F.concat(*[spans[k] for k in KINDS]).alias("spans"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_TEXTS) -> DataFrame:
-    """(kind, term, texts, disclosure) of the terms that reveal a kind of entity.
+def _with_terms(docs: DataFrame) -> DataFrame:
+    """(rid, kinds, term), a row for each text and term."""
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(_masked(F.col("t"), F.col("spans")), F.lit(TERM), F.lit(0))), F.lower))
+    kinds = F.array_distinct(F.transform("spans", lambda s: s["kind"]))
+    return _with_spans(docs).select("rid", kinds.alias("kinds"), F.explode(terms).alias("term"))
 
-    Over all texts: p(kind) is the share of texts with such an entity, p(term)
-    with the term anywhere, p(kind, term) with the term beside such an entity.
-    The disclosure is PMI(kind, term) / IC(kind); at 1 the term never stands
-    without the entity.
+
+def disclosures(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(term, kind, texts, with_term, disclosure) of the terms that reveal a kind of entity.
+
+    Over all texts: p(kind) is the share of texts with such an entity, p(kind | term)
+    that among the texts with the term anywhere, smoothed by PRIOR texts of the
+    share p(kind).  The disclosure is PMI(kind, term) / IC(kind); at 1 the term
+    never stands without the entity.
     """
-    n = found.agg(F.count("*").alias("texts"))
-    kinds = found.select("rid", F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("with_kind"))
-    beside = found.select(F.explode(F.array_distinct(F.transform("beside", lambda x: F.struct(x["kind"].alias("kind"), x["term"].alias("term"))))).alias("x")).select("x.kind", "x.term")
-    joint = cut(beside.groupBy("kind", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least))
-    # The terms to count follow the vocabulary, which has no bound: broadcast only up to a checked count.
-    wanted = joint.select("term").distinct()
-    few = wanted.limit(50_001).count() <= 50_000
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs)), F.lit(r"(?<!\p{L})\p{L}{4,}+"), F.lit(0)))).alias("term"))
-    counts = terms.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    # n and kinds are one and at most four rows.
-    judged = joint.join(counts, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))
-    ic = F.log2(F.col("texts") / F.col("with_kind"))
-    pmi = F.log2(F.col("both") * F.col("texts") / (F.col("with_term") * F.col("with_kind")))
-    judged = judged.withColumn("disclosure", F.when(ic > 0, pmi / ic))
-    return judged.where(F.col("disclosure") >= alpha).select("kind", "term", F.col("both").alias("texts"), "disclosure")
-
-
-def find(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_TEXTS) -> DataFrame:
-    """Per row of docs: rid, doc_id, spans (base ones, in order) and terms (disclosing ones beside them).
+    among = lambda k: F.count_if(F.array_contains("kinds", k)).alias(k)
+    held = _with_spans(docs).select(F.transform("spans", lambda s: s["kind"]).alias("kinds")).agg(F.count("*").alias("texts"), *[among(k) for k in KINDS]).first()
+    counts = cut(_with_terms(docs).groupBy("term").agg(F.count("*").alias("with_term"), *[among(k) for k in KINDS]))
+    shares = {k: held[k] / held["texts"] for k in KINDS if 0 < held[k] < held["texts"]}
+    if not shares:
+        return counts.select("term", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("texts"), "with_term", F.lit(None).cast("double").alias("disclosure")).limit(0)
+    value = lambda k, p: F.log2((F.col(k) + PRIOR * p) / (F.col("with_term") + PRIOR) / p) / F.log2(F.lit(1 / p))
+    judged = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("texts"), value(k, p).alias("disclosure")) for k, p in shares.items()])
+    return counts.select("term", "with_term", F.explode(F.filter(judged, lambda x: x["disclosure"] >= alpha)).alias("x")).select("term", "x.kind", "x.texts", "with_term", "x.disclosure")
+
+
+def _revealing_in(docs: DataFrame, alpha: float) -> DataFrame:
+    """(rid, terms): the disclosing terms of each text that has any."""
+    revealing = cut(disclosures(docs, alpha).groupBy("term").agg(F.max("with_term").alias("with_term")))
+    rows = _with_terms(docs).select("rid", "term")
+    # The terms follow the vocabulary, which has no bound: broadcast only up to a checked count.
+    if revealing.limit(50_001).count() <= 50_000:
+        met = rows.join(F.broadcast(revealing.select("term")), "term", "left_semi")
+    else:
+        # The most frequent terms, disclosing or not, meet in no task.
+        frequent = rows.groupBy("term").count().orderBy(F.desc("count"), "term").limit(1000).select("term", F.lit(True).alias("_hot"))
+        found = revealing.select("term", F.lit(True).alias("_yes")).join(F.broadcast(frequent), "term", "full").select("term", "_yes", F.coalesce("_hot", F.lit(False)).alias("_hot"))
+        met = looked_up(rows, cut(found), "term", F.col("rid")).where("_yes")
+    return met.groupBy("rid").agg(F.collect_set("term").alias("_terms"))
+
+
+def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Per row of docs: rid, doc_id, spans (base ones, in order) and terms (every occurrence of disclosing ones outside the spans).
 
     Null or empty text: no spans.  Null and repeated doc_ids: rows stay apart by
     their number in the scan.  Empty table: empty result.  Without entities no
     term is judged.  Other columns are not read.
     """
-    text = text_of(docs)
-    base = docs.select(docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text.alias("t"))
-    spans = base_spans(F.col("t"))
-    every = base.select("doc_id", "rid", "t", F.concat(*[spans[k] for k in KINDS]).alias("spans"))
-    beside = F.when(F.size("spans") > 0, _beside(F.col("t"), F.col("spans"))).otherwise(F.expr("cast(array() as array<struct<kind: string, term: string, start: bigint, end: bigint>>)"))
-    found = cut(every.select("doc_id", "rid", "spans", beside.alias("beside")))
-    revealing = disclosures(found, docs, alpha, least)
-    places = found.select("rid", F.explode("beside").alias("x")).select("rid", "x.kind", "x.term", "x.start", "x.end")
-    hits = places.join(revealing, ["kind", "term"]).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_terms"))
-    terms = F.transform("_terms", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return found.join(hits, "rid", "left").select("rid", "doc_id", "spans", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("terms"))
+    met = _with_spans(docs).join(_revealing_in(docs, alpha), "rid", "left")
+    places = _spans(_masked(F.col("t"), F.col("spans")), TERM, "term", lambda m: F.array_contains("_terms", F.lower(m)))
+    terms = F.when(F.col("_terms").isNotNull(), places).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return met.select("rid", "doc_id", "spans", terms.alias("terms"))
 
 
 def _digest(spans: Column) -> Column:
@@ -168,13 +180,13 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(_digest(F.col("spans")), 256).alias("base_sha256"), _digest(F.concat("spans", "terms")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_TEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, text): entities generalised to their kind in brackets, disclosing terms removed.
 
     Of overlapping spans the one that starts first is replaced.
     """
     marked = docs.select(docs["doc_id"].alias("_id"), text_of(docs).alias("_t"), F.monotonically_increasing_id().alias("rid"))
-    met = marked.join(find(docs, alpha, least).select("rid", F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("_s")), "rid", "left")
+    met = marked.join(find(docs, alpha).select("rid", F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("_s")), "rid", "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substr(F.col("_t"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))

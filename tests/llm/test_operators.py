@@ -320,6 +320,21 @@ def test_pii_disclosing_terms(spark):
     assert "[email]" in out[100] and "contact" not in out[100] and out[0] == clean[0][1]
 
 
+def test_pii_terms_are_marked_everywhere(spark):
+    far = "word " * 40
+    # "Kim", "Zoltan" and a name of two characters, in few texts; in one of them far from the entity, in one without any.
+    held = [(n, f"Kim {far} {name} {far}mail user{n}@host.org") for n, name in enumerate(["Zoltan", "zoltan", "Zoltan", "李明", "李明", "李明"])]
+    alone = [(10, "Here kim stands alone, and KIM again")]
+    clean = [(100 + n, f"some plain word stands here and alone again mail {n}") for n in range(200)]
+    df = spark.createDataFrame(held + alone + clean, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.find(df, 0.8).collect()}
+    words = lambda n, t: [t[s.start : s.end] for s in got[n].terms]
+    for n, t in held:
+        assert words(n, t) == ["Kim", ["Zoltan", "zoltan", "Zoltan", "李明", "李明", "李明"][n]]
+    assert words(*alone[0]) == ["kim", "KIM"] and all(not got[n].terms for n, _ in clean)
+    assert {r.doc_id: r.text for r in pii.sanitise(df, 0.8).collect()}[10] == "Here  stands alone, and  again"
+
+
 def quality_docs(spark, n=600):
     r = random.Random(4)
     rows, marks = [], []
