@@ -525,9 +525,9 @@ def embedding_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("points_kmeans_embeddings")(lambda spark, d: points.kmeans(embedding_points(spark, d), 10))
-query("points_sweep")(lambda spark, _: points.sweep(point_sets.dataset(spark, "three_blobs"), (2, 4, 8), 20))
-query("points_centroids")(lambda spark, _: points.centroids(points.hue(points.kmeans(point_sets.dataset(spark, "heart_shape"), 4, 20), 4)))
-query("features_kmeans")(lambda spark, d: (lambda e, v: graph.kmeans_features(e.select(F.row_number().over(registry.measures.W.orderBy("vec_id")).alias("id") - 1, F.col(v).cast("array<double>").alias("features")).toDF("id", "features"), 10, e.count(), 5))(table(spark, d, "embeddings"), next(f.name for f in table(spark, d, "embeddings").schema.fields if f.dataType.typeName() == "array")))
+query("points_sweep")(lambda spark, _: points.sweep(point_sets.dataset(spark, "three_blobs")))
+query("points_centroids")(lambda spark, _: points.centroids(points.hue(points.kmeans(point_sets.dataset(spark, "heart_shape"), 4), 4)))
+query("features_kmeans")(lambda spark, d: (lambda e, v: graph.kmeans_features(e.select(F.row_number().over(registry.measures.W.orderBy("vec_id")).alias("id") - 1, F.col(v).cast("array<double>").alias("features")).toDF("id", "features"), 10, e.count()))(table(spark, d, "embeddings"), next(f.name for f in table(spark, d, "embeddings").schema.fields if f.dataType.typeName() == "array")))
 
 
 # ---- sinks -----------------------------------------------------------------------------------------------------------

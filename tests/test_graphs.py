@@ -164,6 +164,21 @@ def test_kmeans_separates_blobs(spark):
     assert points.sweep(point_sets.dataset(spark, "chains"), (2, 4), 5).groupBy("k").agg(F.sum("size").alias("n")).where("n = 400").count() == 2
 
 
+def test_registered_kmeans_runs_to_the_default_limits(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+
+    q, calls = e.queries(), []
+    fixed = spark.createDataFrame([(1, 0.0, 0.0, 0)], "point_id bigint, x double, y double, cluster_id bigint")
+    monkeypatch.setattr(points, "kmeans", lambda p, k, passes=100, seed=42: calls.append((k, passes)) or fixed)
+    q["points_sweep"](spark, str(tmp_path))
+    q["points_centroids"](spark, str(tmp_path))
+    assert calls == [(k, 100) for k in (2, 4, 8, 16, 32, 64, 4)]
+    spark.createDataFrame([(1, [0.0, 1.0])], "vec_id bigint, v array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(graph, "kmeans_features", lambda rows, k, n, passes=50, seed=42: calls.append(passes) or rows)
+    q["features_kmeans"](spark, str(tmp_path))
+    assert calls[-1] == 50
+
+
 def test_poisson_discs_keep_their_distance():
     found = point_sets.poisson_disc(0, 100, 10)
     assert len(found) > 40 and min((a - c) ** 2 + (b - d) ** 2 for n, (a, b) in enumerate(found) for c, d in found[:n]) >= 100
