@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space is \x20 and \x09-\x0D, as bytes.split() has it.
 SPACE = r"[\x20\x09-\x0D]"
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_A_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` of the session names.
 
-    ``spark.checkpoint.dir`` of the session counts; only where it is unset, as
-    in tests, a temporary folder is set.
+    Where it is unset, a temporary folder serves a local master, as in tests;
+    on a cluster executors would each write to their own disk, so it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the cluster names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20):
+    """Arrow batches of few rows and bytes, so that long texts fit a Python worker; the session's own settings come back after.
+
+    The settings hold for what runs inside, so plans over texts are cut there.
+    """
+    own = {ROWS_A_BATCH: str(rows), BYTES_A_BATCH: str(size)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def let(value: Column, body) -> Column:
@@ -38,6 +64,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def in_blocks(n: Column, first: Column, kind: str, step) -> Column:
+    """The outputs of step(state, i) -> struct(state, out) for i from 0 to n - 1, as one array of ``kind``.
+
+    An array can't grow in place, so outputs are gathered in about sqrt(n)
+    blocks and flattened: n**1.5 pointer copies, not n**2.
+    """
+
+    def block(acc: Column, k: Column, wide: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), F.expr(f"cast(array() as array<{kind}>)").alias("outs"))
+        grow = lambda a, i: let(step(a["state"], i), lambda x: F.struct(x["state"].alias("state"), F.concat(a["outs"], F.array(x["out"])).alias("outs")))
+        inner = F.aggregate(F.sequence(k * wide, F.least(n, (k + 1) * wide) - 1), start, grow)
+        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["outs"], F.array(x["outs"])).alias("outs")))
+
+    def every(wide: Column) -> Column:
+        start = F.struct(first.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("outs"))
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int"))
+        return F.aggregate(blocks, start, lambda acc, k: block(acc, k, wide), lambda a: F.flatten(a["outs"]))
+
+    return F.when(n > 0, let(F.ceil(F.sqrt(n)).cast("int"), every)).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
@@ -60,8 +107,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path; ``removed`` deletes it."""
     spark = df.sparkSession
-    cut(spark.range(0))  # names the folder where it is unset
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -72,15 +118,27 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
-    """rows with found's columns, by a left join on the string column ``key``; found has one row a key, and ``_hot``.
+    """rows with found's columns, by a left join on the column ``key``; found has one row a key, and ``_hot``.
 
-    Fewer than 1024 keys may be hot; they are broadcast, and their rows get keys
-    of their own (``spread``, a function of the row) in the join of the others,
-    so a key with a third of all rows meets in no task.
+    Fewer than 1024 keys may be hot; they are broadcast, and their rows get a
+    salt (``spread``, a function of the row) in the join of the others, so a key
+    with a third of all rows meets in no task.
     """
     names = [c for c in found.columns if c not in (key, "_hot")]
     part = lambda hot, name: found.where(F.col("_hot") == F.lit(hot)).select(F.col(key).alias(f"_k{name}"), F.struct(*names).alias(name))
     marked = rows.join(F.broadcast(part(True, "_h")), F.col(key) == F.col("_k_h"), "left")
-    marked = marked.withColumn("_by", F.when(F.col("_k_h").isNull(), F.col(key)).otherwise(F.concat(F.lit("row "), spread.cast("string"))))
-    met = marked.join(part(False, "_c"), F.col("_by") == F.col("_k_c"), "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_k_h").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 30)) + 1))
+    cold = part(False, "_c").withColumn("_salt_c", F.lit(0).cast("bigint"))
+    met = marked.join(cold, (F.col(key) == F.col("_k_c")) & (F.col("_salt") == F.col("_salt_c")), "left")
     return met.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col("_h")[n], F.col("_c")[n]).alias(n) for n in names])
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its place from 0 in a total order, by one range sort: rows before in the partition plus rows of the partitions before."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_in": inside}))
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row a partition, so the window is small and the rows can be broadcast.
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
