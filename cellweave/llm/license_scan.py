@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, text_of
+from .common import in_blocks, let, lower_ascii, text_of
 
 K = 2
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,6 +30,8 @@ NOTICES = {
 LEAST_SHARE = 0.75
 #: ... on diagonals that lie this close together.
 SHIFT = 3
+#: A group of diagonals: the smallest and largest, the smallest and largest place of a hit, and the template's positions hit.
+GROUP = ("first", "last", "low", "high", "hits")
 
 
 def templates() -> list[tuple[int, str, bool, int, int, str]]:
@@ -82,28 +84,36 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _found(votes: DataFrame) -> DataFrame:
     """Diagonals of each row and template merged and verified, then the row's finds together."""
-    zero = F.expr("cast(array() as array<struct<first: int, last: int, hits: array<int>>>)")
-
-    def merge(acc, v):
-        tail = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & ~F.col("exact") & (v["diagonal"] - tail["last"] <= SHIFT) & (v["diagonal"] - tail["first"] < F.col("pairs"))
-        same = (F.size(acc) > 0) & (v["diagonal"] == tail["last"])
-        grown = F.struct(tail["first"].alias("first"), v["diagonal"].alias("last"), F.array_append(tail["hits"], v["tpos"]).alias("hits"))
-        fresh = F.struct(v["diagonal"].alias("first"), v["diagonal"].alias("last"), F.array(v["tpos"]).alias("hits"))
-        return F.when(near | same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    groups = F.aggregate("votes", zero, merge)
-    share = lambda g: F.size(F.array_distinct(g["hits"])) / F.col("pairs")
-    shares = votes.withColumn("groups", F.transform(groups, lambda g: F.struct(g["first"].alias("first"), g["last"].alias("last"), F.array_min(g["hits"]).alias("low"), F.array_max(g["hits"]).alias("high"), share(g).alias("share"))))
+    n = F.size("votes")
+
+    def walk(group: Column, i: Column) -> Column:
+        """One vote further, and at last none: the group it joins or opens, and the group that it closes."""
+
+        def step(v: Column) -> Column:
+            near = ~F.col("exact") & (v["diagonal"] - group["last"] <= SHIFT) & (v["diagonal"] - group["first"] < F.col("pairs"))
+            joins = F.coalesce((F.size(group["hits"]) > 0) & ((v["diagonal"] == group["last"]) | near), F.lit(False))
+            at, tpos = F.coalesce(v["diagonal"], F.lit(0)), F.coalesce(v["tpos"], F.lit(0))
+            hits = F.when(F.array_contains(group["hits"], tpos), group["hits"]).otherwise(F.concat(group["hits"], F.array(tpos)))
+            grown = [group["first"], at, F.least(group["low"], at + tpos), F.greatest(group["high"], at + tpos), hits]
+            fresh = [at, at, at + tpos, at + tpos, F.array(tpos)]
+            state = lambda values: F.struct(*[x.alias(name) for name, x in zip(GROUP, values, strict=True)])
+            share = F.size(group["hits"]) / F.col("pairs")
+            closed = F.struct(group["low"].cast("bigint").alias("low"), group["high"].cast("bigint").alias("high"), share.alias("share"))
+            out = F.when(~joins & (F.size(group["hits"]) > 0), closed)
+            return F.struct(F.when(joins, state(grown)).otherwise(state(fresh)).alias("state"), out.alias("out"))
+
+        return let(F.get(F.col("votes"), i), step)
+
+    none = F.expr("named_struct('first', 0, 'last', 0, 'low', 0, 'high', 0, 'hits', cast(array() as array<int>))")
+    groups = F.array_compact(in_blocks(n + 1, none, "struct<low: bigint, high: bigint, share: double>", walk))
     good = F.filter("groups", lambda g: F.when(F.col("exact"), g["share"] >= 1.0).otherwise(g["share"] >= LEAST_SHARE))
-    kept = shares.withColumn("good", F.when(F.col("label").isNotNull(), good))
-    spans = F.transform("good", lambda g: F.struct(F.col("label").alias("label"), (g["first"] + g["low"]).cast("bigint").alias("first"), (g["last"] + g["high"] - g["first"] - g["low"] + K).cast("bigint").alias("words")))
-    base = F.when(F.col("exact"), F.transform("good", lambda g: g["first"].cast("bigint")))
+    kept = votes.withColumn("groups", F.when(F.col("label").isNotNull(), groups)).withColumn("good", good)
+    spans = F.transform("good", lambda g: F.struct(F.col("label").alias("label"), g["low"].alias("first"), (g["high"] - g["low"] + K).alias("words")))
     per = kept.select(
         "rid", "doc_id", "n_words",
         F.when(F.size("good") > 0, F.col("label")).alias("label"),
         F.when(F.col("exact") & (F.size("good") > 0), F.col("label")).alias("base_label"),
-        base.alias("places"), spans.alias("spans"),
+        F.when(F.col("exact"), F.transform("good", lambda g: g["low"])).alias("places"), spans.alias("spans"),
         F.array_max(F.transform("groups", lambda g: F.when(~F.col("exact") | (g["share"] >= 1.0), g["share"]))).alias("share"),
     )
     rows = per.groupBy("rid", "doc_id").agg(
