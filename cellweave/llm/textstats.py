@@ -27,25 +27,39 @@ def repeated(w: Column) -> Column:
     """Words that stand in 3-word windows found twice or more in the text, the first included.
 
     Each window becomes one long: its hash in the upper bits, its place in the
-    lower ones.  After a sort, equal windows are neighbours, so no pairs of
-    places are formed however often a window occurs.
+    lower ones.  After a sort, windows of equal hash bits are neighbours, so no
+    pairs of places are formed however often a window occurs.  The words of
+    neighbours are compared; only where some differ, as among millions of words
+    whose places leave few bits, the windows in question are sorted by their words.
     """
+    window = lambda i: [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
+    beside = lambda s, k, same: same(F.get(s, k), F.get(s, k - 1)) | same(F.get(s, k), F.get(s, k + 1))
 
-    def count(w: Column) -> Column:
-        bits = F.length(F.bin(F.size(w).cast("bigint")))
-        packed = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")),
-        )
+    def by_words(places: Column) -> Column:
+        named = F.sort_array(F.transform(places, lambda p: F.struct(F.concat_ws(" ", *window(p.cast("int"))).alias("words"), p.alias("place"))))
+        same = lambda a, b: F.coalesce(a["words"] == b["words"], F.lit(False))
+        return let(named, lambda s: F.array_compact(F.transform(s, lambda v, k: F.when(beside(s, k, same), v["place"]))))
+
+    def count(n: Column) -> Column:
+        bits = F.length(F.bin(n.cast("bigint")))
+        packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(*window(i)), bits).bitwiseOR(i.cast("bigint")))
+        hash_of = lambda v: F.call_function("shiftright", v, bits)
+        place = lambda v: (v - F.call_function("shiftleft", hash_of(v), bits)).cast("int")
+        same = lambda a, b: F.coalesce(hash_of(a) == hash_of(b), F.lit(False))
 
         def starts(s: Column) -> Column:
-            window = lambda v: F.call_function("shiftright", v, bits)
-            place = lambda v: v - F.call_function("shiftleft", window(v), bits)
-            return F.array_compact(F.transform(s, lambda v, k: F.when((window(v) == window(F.get(s, k - 1))) | (window(v) == window(F.get(s, k + 1))), place(v))))
+            """Places of windows with a neighbour of equal hash bits, in the order of the hashes."""
+            return F.array_compact(F.transform(s, lambda v, k: F.when(beside(s, k, same), v)))
+
+        def verified(s: Column) -> Column:
+            differ = lambda p, q: ~((F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2)))
+            wrong = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda k: same(F.get(s, k), F.get(s, k - 1)) & differ(place(F.get(s, k)), place(F.get(s, k - 1))))
+            places = F.transform(s, lambda v: place(v).cast("bigint"))
+            return F.when(F.size(s) < 2, places).when(wrong, by_words(places)).otherwise(places)
 
-        return let(F.sort_array(packed), lambda s: _covered(F.sort_array(starts(s))))
+        return let(let(F.sort_array(packed), starts), lambda s: _covered(F.sort_array(verified(s))))
 
-    return let(w, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("bigint")).otherwise(count(w)))
+    return F.when(F.size(w) < 3, F.lit(0).cast("bigint")).otherwise(let(F.size(w), count))
 
 
 def _covered(starts: Column) -> Column:
@@ -106,17 +120,20 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> list:
-    """Rows (features..., y) of at most ``most`` labelled documents, those of the smallest md5 of the doc_id.
+    """Rows (features..., _y, _id) of at most ``most`` labelled documents, those of the smallest md5 of the doc_id.
 
-    Labels without a doc_id or a quality are left out.  The sample is bounded by
-    ``most``, so it can be broadcast and its statistics collected.
+    Only labels of ids that ``docs`` holds count, so fewer than ``most`` come
+    back only if fewer documents are labelled.  Labels without a doc_id or a
+    quality are left out; of several labels of one id the smallest quality
+    counts, of several rows of one id the smallest statistics.  The sample is
+    bounded by ``most``, so it can be broadcast and its statistics collected.
     """
-    few = (
-        labels.select(labels["doc_id"].alias("_id"), labels["quality"].cast("int").alias("_y"))
-        .where("_id IS NOT NULL AND _y IS NOT NULL")
-        .orderBy(F.md5(F.col("_id").cast("string")), "_id", "_y")
-        .limit(most)
-    )
+    marks = labels.select(labels["doc_id"].alias("_id"), labels["quality"].cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
+    marks = marks.groupBy("_id").agg(F.min("_y").alias("_y"))
+    # Distinct ids are combined in each task before they meet, so a repeated id is no hot key.
+    present = docs.select(docs["doc_id"].alias("_id")).where("_id IS NOT NULL").distinct()
+    few = marks.join(present, "_id", "left_semi").orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most)
     found = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text")).join(F.broadcast(few), "_id")
     stats = with_stats(found, ["_id", "_y"])
-    return stats.select(*FEATURES, "_y", "_id").collect()
+    one = stats.groupBy("_id", "_y").agg(F.min(F.struct(*FEATURES)).alias("_f"))
+    return one.select(*[F.col("_f")[f].alias(f) for f in FEATURES], "_y", "_id").collect()
