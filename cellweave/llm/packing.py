@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,16 +21,20 @@ CAPACITY = 1024
 END = 2
 RANK_BITS = 44
 SPECIAL = "<|endoftext|>"
+#: A text with a longer run of white space goes to the tokenizer file's own tokenizer; tiktoken fails at about a million.
+MOST_BLANKS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, in_part bigint"
 
 
 @functools.cache
 def encoder(vocabulary: str | None = None):
-    """texts -> lists of ids, equal to the vocabulary file's own tokenizer with add_special_tokens=False.
+    """text -> ids, equal to the vocabulary file's own tokenizer with add_special_tokens=False.
 
-    The byte-pair merges run in tiktoken over the same vocabulary as ranks,
-    which is several times faster; a text that holds a special token's string
-    goes to the tokenizer of the file itself.
+    For the bundled file the byte-pair merges run in tiktoken over the same
+    vocabulary as ranks, which is several times faster.  A text that holds a
+    special token's string, or a run of white space so long that tiktoken's
+    pattern could exhaust its stack, goes to the tokenizer of the file itself,
+    as do all texts for another vocabulary.
     """
     import base64
 
@@ -37,12 +42,21 @@ def encoder(vocabulary: str | None = None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+    bundled = public_tokenizers.path("byte_bpe_50k.json")
+    file = Tokenizer.from_file(vocabulary or bundled)
+    exact = lambda text: file.encode(text, add_special_tokens=False).ids
+    if vocabulary and vocabulary != bundled:
+        return exact
+    with open(bundled.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(path)
-    return lambda text: exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    blank = re.compile(rf"(?<!\s)\s{{{MOST_BLANKS}}}")
+
+    def encode(text: str) -> list[int]:
+        plain = SPECIAL not in text and (len(text) < MOST_BLANKS or not blank.search(text))
+        return fast.encode_ordinary(text) if plain else exact(text)
+
+    return encode
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -150,9 +164,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    small_batches(docs.sparkSession)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pieces = cut(text.mapInArrow(_cut_up(capacity, vocabulary, with_ids), PIECES + ", ids binary" * with_ids))
+    with small_batches(docs.sparkSession):
+        pieces = cut(text.mapInArrow(_cut_up(capacity, vocabulary, with_ids), PIECES + ", ids binary" * with_ids))
     parts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
