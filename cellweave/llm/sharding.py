@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, ranked, text_of
 
-#: The loop visits i = 1, 2, ...; for n shards it jumps about ln(n) times, and the chance of over 256 jumps is below 1e-100 for any n.
-MOST_JUMPS = 256
+#: Draws of one turn of the loop. A key jumps about ln(n) times for n shards, so one turn is nearly always enough; the rest take more turns.
+TURN = 64
 
 
 def _draw(key: Column, i: Column) -> Column:
@@ -21,6 +21,8 @@ def jump(key: Column, shards: int) -> Column:
     """struct(b, j): b is the shard of ``shards``; j >= shards is where the next jump would land.
 
     With one more shard a key moves only if j equals ``shards``, and then to the new shard.
+    A jump moves on by one shard at least, so ``shards`` draws always do; turns
+    after the landing cost nothing.
     """
     n = F.lit(shards).cast("bigint")
     start = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("j"))
@@ -30,7 +32,11 @@ def jump(key: Column, shards: int) -> Column:
         to = F.call_function("div", (acc["j"] + 1) * F.lit(1 << 31).cast("bigint"), r)
         return F.when(acc["j"] >= n, acc).otherwise(F.struct(acc["j"].alias("b"), to.alias("j")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, MOST_JUMPS))), start, step)
+    def turn(acc: Column, k: Column) -> Column:
+        draws = F.sequence(k * TURN + 1, F.least(k * TURN + TURN, F.lit(shards)))
+        return F.when(acc["j"] >= n, acc).otherwise(F.aggregate(draws, acc, step))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit((shards - 1) // TURN)), start, turn)
 
 
 def shard(docs: DataFrame, shards: int = 40, slot_buckets: int = 256) -> DataFrame:
@@ -38,8 +44,9 @@ def shard(docs: DataFrame, shards: int = 40, slot_buckets: int = 256) -> DataFra
 
     No ring table: a key's shard comes from its own pseudo-random jumps, and one
     more shard takes rows only into itself.  Slots number a shard's rows from 0
-    without gaps: rows are ranked in buckets of a shard (by a hash of the key),
-    and a bucket starts where those before it end, so no shard is sorted whole.
+    without gaps, in the order of ``slot_buckets`` hash classes of the key, then
+    doc_id (null last), CRC and size.  They come from one range sort of narrow
+    rows with offsets, so no shard, class or repeated doc_id meets in one task.
 
     Null doc_id: one key of its own, so one shard.  Null text: size 16, CRC 0.
     Repeated rows: the same shard, different slots.  Empty table: empty result.
@@ -54,28 +61,28 @@ def shard(docs: DataFrame, shards: int = 40, slot_buckets: int = 256) -> DataFra
         (F.octet_length(text).cast("bigint") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         jump(key, shards).alias("_at"),
-        F.shiftright(F.conv(F.substring(F.md5(key), 9, 4), 16, 10).cast("int"), 0).alias("_h"),
-    ).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.col("_at.b").cast("int").alias("shard"),
-        F.when(F.col("_at.j") == shards, shards).otherwise(F.col("_at.b")).cast("int").alias("grown_shard"),
-        (F.col("_h") % slot_buckets).alias("_bucket"),
+        (F.conv(F.substring(F.md5(key), 9, 4), 16, 10).cast("int") % slot_buckets).alias("_bucket"),
+        # Tells equal rows apart, so that the ranges of the sort divide them as well.
+        F.xxhash64(F.monotonically_increasing_id()).alias("_salt"),
     )
-    counts = keyed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = W.partitionBy("shard", "_bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    return keyed.join(starts, ["shard", "_bucket"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("_start") + F.row_number().over(order) - 1).alias("slot"),
-        "grown_shard",
+    keyed = cut(
+        keyed.select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.col("_at.b").cast("int").alias("shard"),
+            F.when(F.col("_at.j") == shards, shards).otherwise(F.col("_at.b")).cast("int").alias("grown_shard"),
+            "_bucket",
+            "_salt",
+        )
     )
+    # One row a shard.
+    counts = keyed.groupBy("shard").agg(F.count("*").alias("_n"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    order = [F.col("shard").asc(), F.col("_bucket").asc(), F.col("doc_id").asc_nulls_last(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("_salt").asc()]
+    placed = ranked(keyed, order, "_rank").join(F.broadcast(first), "shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_rank") - F.col("_first")).alias("slot"), "grown_shard")
 
 
 #: The same in DuckDB.  CRC-32 goes byte by byte with the table of the reflected polynomial 0xEDB88320.
