@@ -98,7 +98,6 @@ class MergeIndex:
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """Each row's digest, in sorted runs of ``memtable_rows`` rows or a batch more."""
-        small_batches(docs.sparkSession)
         return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_flush(self.memtable_rows), RUN_SCHEMA)
 
     def flush(self, rows: DataFrame) -> DataFrame:

@@ -7,16 +7,15 @@ import random
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, looked_up, ranked, removed, text_of, written
 
 CYCLE = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2
 #: Documents of one flight. A block leaves two undecided documents at most, so each round divides their number by half of this.
-BLOCK = 1024
+BLOCK, LEAST_BLOCK = 1024, 8
 EPS = 1e-9
 STATE = ["doc_id", "source", "size", "_rid", "source_size", "target", "_whole", "_p", "_order", "_rows"]
 
@@ -26,30 +25,33 @@ def words_in(docs: DataFrame) -> Column:
 
 
 def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target): one row a source, sources in code point order and null last.
+    """(source, source_size, source_rows, target): one row a source, sources in code point order and null last.
 
-    The target is min(most * source_size, level * weight) with the level at
-    which all targets make up ``share`` of all sizes: giving the excess of full
-    sources to the others by weight, until none is above, ends there.  Sources
-    fill in the order of cap/weight, so the level follows from running sums.
-    Sizes of 0 everywhere give targets of 0.
+    ``share`` of all sizes is dealt out by weight; sources above ``most`` times
+    their size stop there and the excess goes to the others by weight, until
+    none is above.  So the target is min(most * source_size, level * weight), and
+    each turn finds the level that the sources full so far leave.  Turns end
+    when no more source fills up, usually after two or three.
+
+    Null source: the last of the sources.  Null sizes count as 0; sizes of 0
+    everywhere give targets of 0.  Empty table: empty result.  Other columns are
+    not read.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    ranked = totals.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    if not cycle or min(cycle) <= 0 or share < 0 or most < 0:
+        raise ValueError("weights must be above 0, share and most not below")
+    totals = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("source_rows"))
     weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("_rank") % len(cycle) + 1).cast("int"))
-    weighed = ranked.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    fill = W.orderBy(F.col("_cap") / F.col("_w"), "_rank")
-    every = W.partitionBy()
-    running = weighed.withColumns({
-        "_before": F.coalesce(F.sum("_cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-        "_left": F.sum("_w").over(fill.rowsBetween(W.currentRow, W.unboundedFollowing)),
-        "_total": F.sum("source_size").over(every) * F.lit(share),
-    })
-    # The level if just the sources before this one are full; it holds at the first source that it doesn't fill.
-    level = running.withColumn("_level", (F.col("_total") - F.col("_before")) / F.col("_left"))
-    level = level.withColumn("_open", F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level")))
-    level = level.withColumn("_at", F.first("_open", ignorenulls=True).over(fill.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return level.select("source", "source_size", "source_rows", F.least("_cap", F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
+    weighed = cut(ranked(totals, [F.col("source").asc_nulls_last()], "_rank").withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))))
+    total = (weighed.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = 0.0, F.lit(False)
+    number = -1
+    while True:
+        found = weighed.agg(F.count_if(full), F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+        if found[0] == number or not found[2]:
+            break
+        number, level = found[0], (total - (found[1] or 0.0)) / found[2]
+        full = full | (F.col("_cap") < F.col("_w") * F.lit(level))
+    return weighed.select("source", "source_size", "source_rows", F.when(full, F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.lit(level))).alias("target"))
 
 
 def flight(p: list[float], sizes: list[float], draw: random.Random) -> None:
@@ -122,13 +124,23 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
     Empty table: empty result.  docs' other columns are not read.  Reruns agree
     for any layout of the input, but for null doc_ids; seed changes the draw.
     """
-    sizes = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), words_in(docs).alias("size"), F.monotonically_increasing_id().alias("_rid"))
+    return _mixed(docs, F.monotonically_increasing_id(), cycle, share, most, seed, block)
+
+
+def _mixed(docs: DataFrame, rid: Column, cycle: tuple[float, ...] = CYCLE, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7, block: int = BLOCK) -> DataFrame:
+    if block < LEAST_BLOCK:
+        raise ValueError(f"block must be at least {LEAST_BLOCK}")
+    sizes = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), words_in(docs).alias("size"), rid.alias("_rid"))
     sizes = cut(sizes)
     aims = cut(targets(sizes, cycle, share, most))
     # A source's row reaches all its documents. Sources are few against documents, yet unbounded: broadcast only up to a checked count.
-    few = aims.limit(100_001).count() <= 100_000
-    same = sizes["source"].eqNullSafe(aims["source"])
-    met = sizes.join(F.broadcast(aims) if few else aims, same).select(sizes["doc_id"], sizes["source"], "size", "_rid", "source_size", "source_rows", "target")
+    named = lambda df: df.withColumn("_name", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
+    aimed, left = named(aims).drop("source"), named(sizes)
+    if aims.limit(100_001).count() <= 100_000:
+        met = left.join(F.broadcast(aimed), "_name")
+    else:
+        hot = F.col("source_rows") * 1024 > F.lit(sizes.count())
+        met = looked_up(left, cut(aimed.withColumn("_hot", hot)), "_name", F.col("_rid"))
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(mean + F.lit(EPS))
     order = F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("_rid")))
@@ -156,25 +168,20 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = SHARE,
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "_rid")
 
 
-def _key(doc_id: Column, source: Column, size: Column) -> Column:
-    parts = [F.coalesce(doc_id.cast("string"), F.lit("-")), size.cast("string"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))]
-    return F.concat_ws(":", *parts)
-
-
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """docs' rows with all their columns, each as often as ``mix`` takes it.
 
-    Rows alike in doc_id, source and size are told apart by their number among
-    such rows, and only if there are any.
+    The rows are written and numbered once, so rows alike in all that ``mix``
+    reads are told apart by their number.  Null text or source, null or repeated
+    doc_ids: as in ``mix``.  Empty table: empty result.
     """
-    drawn = mix(docs, **options)
-    drawn = cut(drawn.select(_key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_k"), "copies", "_rid"))
-    packed = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"), _key(docs["doc_id"].cast("bigint"), docs["source"].cast("string"), words_in(docs)).alias("_k"))
-    on = ["_k"]
-    if drawn.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        drawn = drawn.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy("_rid")))
-        packed = packed.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy(F.lit(0))))
-        on = ["_k", "_i"]
-    met = packed.join(drawn.where("copies > 0").drop("_rid"), on)
-    times = met.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return times.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    spark = docs.sparkSession
+    packed = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"))
+    stored, path = written(packed)
+    try:
+        drawn = _mixed(stored.select(*[F.col("_row")[c].alias(c) for c in ("doc_id", "source", "text")], "_rid"), F.col("_rid"), **options)
+        met = stored.join(drawn.where("copies > 0").select("_rid", "copies"), "_rid")
+        times = met.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        return cut(times.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    finally:
+        removed(spark, path)

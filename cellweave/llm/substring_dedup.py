@@ -166,7 +166,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    small_batches(docs.sparkSession)
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     known = text.where("doc_id IS NOT NULL")
     bits = runs.bucket_bits(runs.size(known)[1], 1 / 30)
