@@ -142,3 +142,40 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     # One row a partition, so the window is small and the rows can be broadcast.
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
+class Levels:
+    """Immutable runs as tables of a shared folder, in levels.
+
+    ``add`` stores a run in level 0; ``fan_in`` runs of a level are compacted
+    into one of the next, and only then deleted.  A run counts from the moment
+    its table is complete, so a lost job leaves the index as it was.
+    """
+
+    def __init__(self, folder: str, schema: str, compact, fan_in: int = 4):
+        self.folder, self.schema, self.compact, self.fan_in = folder, schema, compact, fan_in
+
+    def stored(self, spark: SparkSession) -> list[tuple[int, str]]:
+        """(level, path) of the complete runs."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted((int(p.getName().split("-")[1]), p.toString()) for p in whole)
+
+    def history(self, spark: SparkSession) -> DataFrame | None:
+        """The stored runs, each row with its run's name; None if there are none."""
+        out = None
+        for _, p in self.stored(spark):
+            part = spark.read.schema(self.schema).parquet(p).withColumn("run_name", F.lit(p))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def add(self, run: DataFrame, level: int = 0) -> None:
+        spark = run.sparkSession
+        run.sortWithinPartitions("bucket").write.parquet(f"{self.folder}/level-{level}-{uuid.uuid4().hex}")
+        full = [p for n, p in self.stored(spark) if n == level]
+        if len(full) >= self.fan_in:
+            self.add(self.compact(*[spark.read.schema(self.schema).parquet(p) for p in full]), level + 1)
+            for p in full:
+                removed(spark, p)
