@@ -22,7 +22,7 @@ PER_CHUNK = 128
 PER_BUCKET = 500_000
 LEAST_BITS = 6
 
-_word = xxhash.xxh3_64_intdigest
+_word, _word_pair = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
 
 def chunk_bits(docs: DataFrame) -> int:
@@ -64,6 +64,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_word, words), np.uint64, len(words))
 
 
+def word_hash_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, the halves of one of 128 bits."""
+    both = np.frombuffer(b"".join(map(_word_pair, words)), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
