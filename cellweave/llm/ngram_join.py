@@ -23,8 +23,10 @@ FACTOR, SHORT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RUN = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("run", pa.binary()), ("often", pa.binary())])
 BACK = "chunk bigint, bucket int, run binary, often binary"
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("gram", pa.int64()), ("pos", pa.int32()), ("single", pa.int32()), ("grams", pa.binary())])
-ROWS = "doc_id bigint, n bigint, cid bigint, check bigint, gram bigint, pos int, single int, grams binary"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.binary()), ("gram", pa.int64()), ("pos", pa.int32()), ("single", pa.int32()), ("grams", pa.binary())])
+ROWS = "doc_id bigint, n bigint, cid binary, gram bigint, pos int, single int, grams binary"
+#: Sets of a gram's group that meet in one task; larger groups are divided into blocks.
+BLOCK = 512
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -37,10 +39,9 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(runs.rolling(h, SHINGLE, FACTOR))
 
 
-def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two signed longs that name a set; texts of one set are one class."""
-    d = xxhash.xxh3_128_digest(grams.tobytes(), seed)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def _identity(grams: np.ndarray) -> bytes:
+    """128 bits that name a set; texts of one set are one class."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def prefix(n: int) -> int:
@@ -83,7 +84,7 @@ def _count(key, table):
     return _table([(c, bucket, keys[i].tobytes(), often[i].tobytes()) for c, i in runs.dealt(chunks, place)], _BACK)
 
 
-def _prefixes(bits: int, seed: int):
+def _prefixes(bits: int):
     def chunk(key, docs, back):
         """A row for each document; for each set whose prefix holds a gram that others have, its grams and those of the prefix."""
         buckets = np.array(back["bucket"].to_pylist(), np.uint64)
@@ -94,7 +95,7 @@ def _prefixes(bits: int, seed: int):
         codes, often = codes[order], often[order]
         columns: dict[str, list] = {f.name: [] for f in _ROWS}
         entries: list[tuple[np.ndarray, ...]] = []
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
 
         def row(**values) -> None:
             for name, column in columns.items():
@@ -107,11 +108,11 @@ def _prefixes(bits: int, seed: int):
             if not n:
                 row(doc_id=doc_id, n=0)
                 continue
-            cid, check = _identity(g, seed)
-            row(doc_id=doc_id, n=n, cid=cid, check=check)
-            if (cid, check) in seen:
+            cid = _identity(g)
+            row(doc_id=doc_id, n=n, cid=cid)
+            if cid in seen:
                 continue
-            seen.add((cid, check))
+            seen.add(cid)
             rank = np.zeros(n, np.uint8)
             if len(codes):
                 code = g >> np.uint64(32 - bits)
@@ -123,13 +124,13 @@ def _prefixes(bits: int, seed: int):
             if len(pos):
                 row(doc_id=doc_id, n=n, cid=cid, grams=g.tobytes())
                 k = len(pos)
-                entries.append((np.full(k, n), np.full(k, cid), g[first][pos].view(np.int64), pos.astype(np.int32), np.full(k, int((rank == 0).sum()), np.int32)))
+                entries.append((np.full(k, n), np.full(k, np.void(cid)), g[first][pos].view(np.int64), pos.astype(np.int32), np.full(k, int((rank == 0).sum()), np.int32)))
         head = pa.table([pa.array(columns[f.name], f.type) for f in _ROWS], schema=_ROWS)
         if not entries:
             return head
         n, cid, gram, pos, single = (np.concatenate(x) for x in zip(*entries, strict=True))
         none = lambda kind: pa.nulls(len(n), kind)
-        rest = pa.table([none(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), none(pa.int64()), pa.array(gram, pa.int64()), pa.array(pos), pa.array(single), none(pa.binary())], schema=_ROWS)
+        rest = pa.table([none(pa.int64()), pa.array(n, pa.int64()), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(cid), [None, pa.py_buffer(cid.tobytes())]).cast(pa.binary()), pa.array(gram, pa.int64()), pa.array(pos), pa.array(single), none(pa.binary())], schema=_ROWS)
         return pa.concat_tables([head, rest])
 
     return chunk
@@ -169,32 +170,76 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     one, two = (sets.select(F.col("cid").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b")
-    return met.mapInArrow(_verify, "a bigint, b bigint")
+    return met.mapInArrow(_verify, "a binary, b binary")
+
+
+def _signed(grams: np.ndarray) -> bytes:
+    """How many grams of a set fall in each of about n/2 to n ranges of hashes, after the log2 of the ranges' number and the width of a count."""
+    bits = max(4, len(grams).bit_length() - 1)
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = np.uint8 if counts.max() < 256 else np.uint32
+    return bytes((bits, kind().itemsize)) + counts.astype(kind).tobytes()
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether the ranges' counts leave room for a link: sets share at most the smaller count of each range."""
+    counts = []
+    for s in (x, y):
+        own = np.frombuffer(s[2:], np.uint8 if s[1] == 1 else np.uint32)
+        counts.append(own.astype(np.int64).reshape(1 << min(x[0], y[0]), -1).sum(axis=1))
+    a, b = counts
+    return (100 + PERCENT) * int(np.minimum(a, b).sum()) >= PERCENT * int(a.sum() + b.sum())
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signs = [_signed(np.frombuffer(b, np.uint64)) for b in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(signs, pa.binary())], names=["cid", "sign"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = pa.array([may_link(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+        yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the suffix filter lets through, on signatures of an eighth of the sets' bytes or less."""
+    signs = cut(sets.mapInArrow(_sign, "cid binary, sign binary"))
+    one, two = (signs.select(F.col("cid").alias(c), F.col("sign").alias(f"_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(_possible, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, label): the smallest cid that links (a, b) lead to, by minimum labels and pointer jumps until none changes."""
+    """(cid, label): the smallest cid that links (a, b) lead to, by minimum labels and pointer jumps until none changes.
+
+    Nodes with many links and labels of many nodes are looked up apart, so no
+    task gets all links of a hub or all nodes of a component.
+    """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = cut(labels)
-    total = lambda x: x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    before = total(labels)
-    while before is not None:
-        near = edges.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "cid").select("cid", F.least("label", "near").alias("to"))
-        labels = cut(lower.join(labels.select(F.col("cid").alias("to"), F.col("label").alias("far")), "to").select("cid", F.least("to", "far").alias("label")))
-        now = total(labels)
-        if now == before:
+    number = edges.count()
+    nodes = edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label"), (F.count("*") * 1024 > F.lit(number)).alias("_hot"))
+    labels = cut(nodes)
+    total = labels.count()
+    while total:
+        at = looked_up(edges, labels.withColumnRenamed("cid", "b"), "b", F.col("a"))
+        near = at.groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
+        lower = cut(labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("to"), "_hot"))
+        often = lower.groupBy("to").agg(F.count("*").alias("_n")).where(F.col("_n") * 1024 > F.lit(total)).select("to", F.lit(True).alias("_often"))
+        far = lower.select(F.col("cid").alias("to"), F.col("to").alias("far")).join(F.broadcast(often), "to", "left").select("to", "far", F.coalesce("_often", F.lit(False)).alias("_hot"))
+        jumped = looked_up(lower, far, "to", F.col("cid"))
+        moved = cut(jumped.select("cid", F.least("to", "far").alias("label"), "_hot", (F.least("to", "far") != F.col("label")).alias("_moved")))
+        labels = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
             break
-        before = now
-    return labels
+    return labels.select("cid", "label")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
 
 
-def _hub_pairs(entries: DataFrame) -> DataFrame:
+def _hub_pairs(entries: DataFrame, number: int) -> DataFrame:
     """Each set of a gram's group with three hubs of the group: those with the fewest grams of their own, the smallest, and any.
 
     Copies of one text link to a hub each, so a group of m copies makes 3m
@@ -204,21 +249,28 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     orders = [F.shiftleft(F.col("single").cast("bigint"), 31) + some, F.shiftleft("n", 31) + some, F.xxhash64("cid", F.lit(1))]
     keyed = entries.withColumns({f"_o{i}": o for i, o in enumerate(orders)})
     columns = [F.min_by(c, f"_o{i}").alias(f"{c}{i}") for i in range(3) for c in ("cid", *PLACE)]
-    hubs = keyed.groupBy("gram").agg(F.min("cid").alias("_low"), F.max("cid").alias("_high"), *columns).where("_low < _high")
-    hubs = hubs.select("gram", F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cid", *PLACE)]) for i in range(3)]).alias("hubs"))
-    met = entries.join(hubs, "gram").select("cid", *PLACE, F.explode(F.array_distinct("hubs")).alias("h"))
+    hubs = keyed.groupBy("gram").agg(F.min("cid").alias("_low"), F.max("cid").alias("_high"), F.count("*").alias("_n"), *columns).where("_low < _high")
+    hubs = hubs.select("gram", (F.col("_n") * 1024 > F.lit(number)).alias("_hot"), F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cid", *PLACE)]) for i in range(3)]).alias("hubs"))
+    met = looked_up(entries, cut(hubs), "gram", F.col("cid")).select("cid", *PLACE, F.explode(F.array_distinct("hubs")).alias("h"))
     fits = (F.col("h.cid") != F.col("cid")) & _fits([F.col(c) for c in PLACE], [F.col("h")[c] for c in PLACE])
     return _pairs(met.where(fits).select("cid", F.col("h.cid").alias("other")))
 
 
-def _open_pairs(entries: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """What is left to test: pairs of a gram's group in different components that were not tested."""
-    joined = entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label", "cid").alias("label"))
-    mixed = joined.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("gram")
-    left = cut(joined.join(mixed, "gram", "left_semi").distinct())
-    other = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", *PLACE, "label")])
+def _open_pairs(entries: DataFrame, labels: DataFrame, tested: DataFrame, number: int) -> DataFrame:
+    """What is left to test: pairs of a gram's group in different components that were not tested.
+
+    A group of over BLOCK sets is divided into blocks; each pair of blocks meets
+    in a task of its own.
+    """
+    joined = cut(entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label", "cid").alias("label")))
+    groups = joined.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
+    mixed = groups.select("gram", (F.col("_n") / BLOCK).cast("int").alias("_last"), (F.col("_n") * 1024 > F.lit(number)).alias("_hot"))
+    left = cut(looked_up(joined, cut(mixed), "gram", F.col("cid")).where("_last IS NOT NULL").distinct())
+    own, every = F.pmod(F.xxhash64("cid"), F.col("_last") + 1).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_last")))
+    one = left.select("gram", "cid", *PLACE, "label", own.alias("_i"), every.alias("_j"))
+    two = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", *PLACE, "label")], every.alias("_i"), own.alias("_j"))
     apart = (F.col("label") < F.col("label2")) & _fits([F.col(c) for c in PLACE], [F.col(f"{c}2") for c in PLACE])
-    pairs = _pairs(left.join(other, "gram").where(apart).select("cid", F.col("cid2").alias("other")))
+    pairs = _pairs(one.join(two, ["gram", "_i", "_j"]).where(apart).select("cid", F.col("cid2").alias("other")))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -227,10 +279,11 @@ def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([len(shingles(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["n_shingles"])
 
 
-def join(docs: DataFrame, seed: int = 0) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id; documents link from a Jaccard similarity of 0.75.
 
-    1. Documents of one shingle set are one class; only classes are joined.
+    1. Documents of one shingle set are one class, named by 128 bits; only
+       classes are joined.
     2. All grams are counted, in packed runs by hash bucket.  A set's prefix is
        its rarest grams, of which any linking set has one; a set whose prefix
        nobody shares has no partner and makes no row.
@@ -238,47 +291,27 @@ def join(docs: DataFrame, seed: int = 0) -> DataFrame:
        are verified once a pair, the suffix filter first.  Each meets hubs of
        its group; then all pairs that hubs left in different components are
        tested, so components are those of all links, without all pairs of a
-       group of copies.
+       group of copies.  Those pairs pass the suffix filter on small signatures
+       before any set travels.
 
     Null or empty text: n_shingles 0, linked with nothing.  Null doc_id: linked
     with nothing, component_id null.  Repeated rows: one class.  Empty table:
     empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
-    pass
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     known = text.where("doc_id IS NOT NULL")
     number, text_bytes = runs.size(known)
     bits = min(31, runs.bucket_bits(text_bytes, 1 / 12))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, number // runs.PER_CHUNK)).cast("bigint"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, number // runs.PER_CHUNK)).cast("bigint"))
     by_chunk = known.select(chunk.alias("chunk"), "doc_id", "text").groupBy("chunk")
     grams = by_chunk.applyInArrow(_gram_runs(bits), "bucket int, chunk bigint, run binary")
     counted = grams.groupBy("bucket").applyInArrow(_count, BACK)
-    rows, path = written(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(bits, seed), ROWS))
+    with small_batches(spark):
+        rows, path = written(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(bits), ROWS))
     try:
-        named = rows.where("check IS NOT NULL OR n = 0").select("doc_id", "n", "cid", "check")
-        classes = named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"), (F.min("check") != F.max("check")).alias("_clash"))
-        classes = cut(classes)
-        total = classes.agg(F.sum("_n"), F.max("_clash")).first()
-        if total[1]:  # two sets got one name; name them anew
-            return join(docs, seed + 1)
-        entries = rows.where("gram IS NOT NULL").select("gram", "cid", "n", F.col("pos").cast("bigint").alias("pos"), "single")
-        whole = rows.where("grams IS NOT NULL").select("cid", "doc_id", "grams")
-        # A class has its grams once a chunk; those of its first document stay.
-        first = classes.select(F.col("cid").alias("_cid"), F.col("first").alias("_first"))
-        sets = whole.join(first, (F.col("cid") == F.col("_cid")) & (F.col("doc_id") <= F.col("_first")), "left_semi").select("cid", "grams")
-        tested = cut(_hub_pairs(entries))
-        links = cut(verified(tested, sets))
-        labels = components(links)
-        rest = cut(_open_pairs(entries, labels, tested))
-        more = cut(verified(rest, sets))
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-        ends = classes.join(labels, "cid", "left").select("cid", "first", "_n", F.coalesce("label", "cid").alias("label"))
-        least = ends.groupBy("label").agg(F.min("first").alias("component_id"))
-        found = ends.join(least, "label").select(F.col("cid").cast("string").alias("cid"), "component_id", (F.col("_n") * 1024 > F.lit(total[0] or 0)).alias("_hot"))
-        out = looked_up(named.withColumn("cid", F.col("cid").cast("string")), cut(found), "cid", F.col("doc_id"))
-        out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+        with small_batches(spark):
+            out = cut(_components_of(rows))
     finally:
         removed(spark, path)
     none = F.lit(None).cast("bigint")
@@ -286,10 +319,37 @@ def join(docs: DataFrame, seed: int = 0) -> DataFrame:
     return out.unionByName(nameless)
 
 
+def _components_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from the rows of ``_prefixes``."""
+    named = rows.where("gram IS NULL AND grams IS NULL").select("doc_id", "n", "cid")
+    classes = cut(named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
+    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    entries = rows.where("gram IS NOT NULL").select("gram", "cid", "n", F.col("pos").cast("bigint").alias("pos"), "single")
+    whole = rows.where("grams IS NOT NULL").select("cid", "doc_id", "grams")
+    # A class has its grams once a chunk; those of its first document stay.
+    first = classes.select(F.col("cid").alias("_cid"), F.col("first").alias("_first"))
+    sets = whole.join(first, (F.col("cid") == F.col("_cid")) & (F.col("doc_id") <= F.col("_first")), "left_semi").select("cid", "grams")
+    many = entries.count()
+    tested = cut(_hub_pairs(entries, many))
+    links = cut(verified(tested, sets))
+    labels = components(links)
+    rest = cut(_open_pairs(entries, labels, tested, many))
+    if rest.limit(1).count():
+        more = cut(verified(cut(possible(rest, sets)), sets))
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+    ends = cut(classes.join(labels, "cid", "left").select("cid", "first", "_n", F.coalesce("label", "cid").alias("label")))
+    least = ends.groupBy("label").agg(F.min("first").alias("component_id"), (F.count("*") * 1024 > F.lit(total[1])).alias("_hot"))
+    found = looked_up(ends, cut(least), "label", F.col("cid")).select("cid", "component_id", (F.col("_n") * 1024 > F.lit(total[0])).alias("_hot"))
+    out = looked_up(named, cut(found), "cid", F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs' rows without those of a component's later documents: the smallest doc_id stays; null doc_ids and rows without words stay.
 
-    Rows repeated with the doc_id that stays all stay; exact deduplication comes before.
+    Rows repeated with the doc_id that stays all stay; exact deduplication comes
+    before.  Empty table: empty result.
     """
     gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
