@@ -105,6 +105,29 @@ def test_exact_dedup_against_history(spark):
     assert [(r.keep_id, r.kept) for r in got] == [(1, False), (3, True)]
 
 
+def test_exact_dedup_in_batches(spark, tmp_path):
+    r = random.Random(8)
+    texts = [f"text {r.randrange(60)} {'A' if n % 2 else 'a'}" for n in range(240)]
+    frame = lambda a, b: spark.createDataFrame([(n, texts[n]) for n in range(a, b)], "doc_id bigint, text string")
+    index = exact_dedup.MergeIndex("min", 7, str(tmp_path / "index"), buckets=3)
+    kept = []
+    for a in range(0, 240, 24):
+        batch, old = frame(a, a + 24), index.history(spark)
+        run = index.flush(index.rows(batch))
+        merged = run if old is None else index.compact(run, index.matching(old, run))
+        best = {bytes(x["digest"]).ljust(32, b"\0"): x["id"] for e in merged.collect() for x in exact_dedup.np.frombuffer(e.entries, exact_dedup.ENTRY)}
+        kept += [n for n in range(a, a + 24) if best[hashlib.sha256(low(texts[n]).encode()).digest()] == n]
+        index.add(run)
+    first = {}
+    for n, t in enumerate(texts):
+        first.setdefault(low(t), n)
+    assert sorted(first.values()) == kept
+    # Ten batches: eight runs have become two of level 1.
+    assert [level for level, _ in index._stored(spark)] == [0, 0, 1, 1]
+    digests = [bytes(x["digest"]).ljust(32, b"\0") for e in index.compact(index.history(spark)).collect() for x in exact_dedup.np.frombuffer(e.entries, exact_dedup.ENTRY)]
+    assert sorted(digests) == sorted(hashlib.sha256(t.encode()).digest() for t in first)
+
+
 def filled(sizes, weights, share=1.5):
     """Targets by the rule as it is told: excess goes to the others by weight until none is above."""
     total, caps = share * sum(sizes), [2 * s for s in sizes]
@@ -168,6 +191,26 @@ def test_substring_dedup(docs, rows):
     assert sum(x[2] for x in want) > 500
 
 
+def test_substring_dedup_in_batches(spark, rows, tmp_path):
+    named = sorted(((i, t) for i, t, _ in rows if i is not None), key=lambda x: x[0])
+    frame = lambda part: spark.createDataFrame(part, "doc_id bigint, text string")
+    index, got = substring_dedup.WindowIndex(str(tmp_path / "windows")), []
+    for low_id, high_id in [(0, 20), (20, 50), (50, 80), (80, 110), (110, 200)]:
+        batch = frame([x for x in named if low_id <= x[0] < high_id])
+        got += substring_dedup.dedup(batch, history=index.history(spark)).collect()
+        index.add(batch)
+    assert bag(map(tuple, got)) == bag(map(tuple, substring_dedup.dedup(frame(named)).collect()))
+    assert [level for level, _ in index.levels.stored(spark)] == [0, 1]
+
+
+def test_substring_dedup_of_crowded_ranges(spark, docs, monkeypatch):
+    want = bag(map(tuple, substring_dedup.dedup(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    known, _ = substring_dedup._chunked(docs)
+    assert known.select("age").distinct().count() > 50
+    assert bag(map(tuple, substring_dedup.dedup(docs).collect())) == want
+
+
 def shingle_set(t):
     w = WORD.findall(low(t))
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
@@ -217,6 +260,35 @@ def test_ngram_join_of_a_large_family(spark):
     assert got == dict(enumerate(label))
 
 
+def test_ngram_join_of_shared_passages(spark):
+    r = random.Random(6)
+    passages = [[f"p{k}w{r.randrange(10**6)}" for _ in range(40)] for k in range(12)]
+    texts = [" ".join(x for p in r.sample(passages, 5) for x in p) for _ in range(250)]
+    got = {x.doc_id: x.component_id for x in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets, label = [shingle_set(t) for t in texts], list(range(250))
+    links = [(i, j) for i, j in itertools.combinations(range(250), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in links:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert links and got == dict(enumerate(label))
+
+
+def test_signatures_never_lose_a_link():
+    r = random.Random(9)
+    rejected = 0
+    for _ in range(400):
+        a = {r.getrandbits(64) for _ in range(r.choice([1, 3, 20, 240, 3000]))}
+        keep = r.choice([0.3, 0.8, 0.9, 1.0])
+        b = {x if r.random() < keep else r.getrandbits(64) for x in a}
+        x, y = (ngram_join.np.array(sorted(s), ngram_join.np.uint64) for s in (a, b))
+        linked = 100 * len(a & b) >= 75 * len(a | b)
+        assert ngram_join.linked(x, y) == linked
+        possible = ngram_join.may_link(ngram_join._signed(x), ngram_join._signed(y))
+        assert possible or not linked
+        rejected += not possible
+    assert rejected > 100
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs, capacity=50, with_ids=True).collect()
     encode = packing.encoder()
