@@ -451,3 +451,111 @@ def test_operators_use_no_local_checkpoint():
 
     for p in Path(decision_list.__file__).parent.glob("*.py"):
         assert "localCheckpoint" not in p.read_text()
+
+
+def test_long_texts_stay_linear(spark):
+    import time
+
+    one = lambda t: spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = license_scan.scan(one("cc by " * 100_000)).first()
+    assert (got.n_base, got.first_word, got.last_word, len(got.spans)) == (100_000, 0, 199_998, 100_000)
+    found = pii.report(one("1.2.3.4 " * 100_000)).first()
+    assert found.n_ip == 100_000 and found.spans.endswith("ip:799992:799999")
+    assert pii.sanitise(one("1.2.3.4 " * 100_000)).first().text == "[ip] " * 100_000
+    # Quadratic versions took minutes for a tenth of these.
+    assert time.monotonic() - began < 180
+
+
+def test_repeated_words_among_millions(spark):
+    from cellweave.llm.textstats import with_stats
+
+    texts = [" ".join(map(str, range(4_000_000))), "a b c " * 100_000, "a b c d"]
+    got = [with_stats(spark.createDataFrame([(1, t)], "doc_id bigint, text string"), ["doc_id"]).first().n_repeat_words for t in texts]
+    assert got == [0, 300_000, 0]
+
+
+def test_license_spans(spark):
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    texts = [notice, "one two " + notice + " three", notice.replace("with or", "with some or"), notice.replace("forms, with", "forms")]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [[(s.label, s.first, s.words) for s in r.spans] for r in got] == [[("bsd", 0, 21)], [("bsd", 2, 21)], [("bsd", 0, 22)], [("bsd", 0, 20)]]
+
+
+def test_long_white_space_goes_to_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    for t in [" " * 2_000_000, "\n" * 2_000_000, "x" + "\t" * 1_200_000 + "y", ("a" + " " * 19_999) * 20]:
+        assert encode(t) == exact.encode(t, add_special_tokens=False).ids
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.encoder(other)("Some words") == Tokenizer.from_file(other).encode("Some words", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_against_best_fit_piece_by_piece(seed):
+    r = random.Random(seed)
+    counts = collections.Counter(r.choice([1, 2, 7, 30, r.randint(1, 100), r.randint(1, 100)]) for _ in range(400))
+    gaps = []
+    for length in sorted(counts.elements(), reverse=True):
+        fits = [(g, n) for n, g in enumerate(gaps) if g >= length]
+        if fits:
+            gaps[min(fits)[1]] -= length
+        else:
+            gaps.append(100 - length)
+    left = collections.defaultdict(lambda: 100)
+    places = collections.defaultdict(list)
+    for length, _, n, first, offset in packing.plan(dict(counts), 100):
+        for s in range(first, first + n):
+            left[s] -= length
+            places[s].append((offset, length))
+    # The same gaps are left, whichever of equal pieces and gaps met.
+    assert sorted(left.values()) == sorted(gaps)
+    for seats in places.values():
+        ends = [0, *itertools.accumulate(length for _, length in sorted(seats))]
+        assert [offset for offset, _ in sorted(seats)] == ends[:-1]
+
+
+def test_labels_are_sampled_from_the_documents_at_hand(spark):
+    from cellweave.llm.textstats import labelled
+
+    some = spark.createDataFrame([(n, f"word {n} " * 10) for n in range(30)] + [(3, f"again {n}") for n in range(200)] + [(None, "x")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(n, n % 2) for n in range(1000, 1500)] + [(n, n % 2) for n in range(20)] + [(4, 0), (4, 1), (None, 1)], "doc_id bigint, quality int")
+    assert sorted(r["_id"] for r in labelled(some, marks, 100)) == list(range(20))
+    few = labelled(some, marks, 5)
+    assert sorted(r["_id"] for r in few) == sorted(sorted(range(20), key=lambda n: hashlib.md5(str(n).encode()).hexdigest())[:5])
+    assert {r["_id"]: r["_y"] for r in labelled(some, marks, 100)}[4] == 0
+    assert labelled(some, marks.limit(0), 5) == [] and labelled(some.limit(0), marks, 5) == []
+    # Documents with empty labels: one score for all, and the base conditions alone.
+    assert {r.score for r in rule_ensemble.score(some, marks.limit(0)).collect()} == {0.5}
+    assert all(r.kept == (not r.base_failed) for r in decision_list.judge(some, marks.limit(0)).collect())
+
+
+def test_scores_against_the_model_row_by_row(spark):
+    from cellweave.llm.textstats import FEATURES, labelled, with_stats
+
+    df, marks = quality_docs(spark, 300)
+    model = rule_ensemble.fit(labelled(df, marks.where(~rule_ensemble.held_out(marks["doc_id"])), 20_000))
+    stats = with_stats(df, ["doc_id"]).collect()
+    plain = model.score(rule_ensemble.np.array([[r[f] for f in FEATURES] for r in stats], float))
+    got = {r.doc_id: r.score for r in rule_ensemble.score(df, marks).collect()}
+    assert model.rules and all(got[r.doc_id] == pytest.approx(p, abs=1e-9) for r, p in zip(stats, plain, strict=True))
+
+
+def test_repeat_takes_what_mix_takes(spark):
+    texts = [(n % 7 if n % 5 else None, f"w {'x ' * (n % 4)}{n}", "s", "extra") for n in range(90)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, source string, _rid string").coalesce(1)
+    taken = sum(r.taken for r in mixing.mix(df, block=16).collect())
+    again = mixing.repeat(df, block=16).collect()
+    assert sum(len(r.text.split()) for r in again) == taken and max(bag(again).values()) <= 2 and {r._rid for r in again} == {"extra"}
+    assert bag(again) == bag(mixing.repeat(df, block=16).collect())
+    with pytest.raises(ValueError):
+        mixing.mix(df, block=2)
+
+
+def test_sessions_keep_their_settings(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    exact_dedup.dedup(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")).count()
+    assert spark.conf.get(key) == before
