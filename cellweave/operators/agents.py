@@ -52,7 +52,7 @@ def coherence(cells: DataFrame) -> DataFrame:
     return surroundings(cells).withColumn("coherence", share_of(F.col("around"), F.col("cluster_id"), 1)).drop("around", "beside")
 
 
-def refine(cells: DataFrame, k: int, rounds: int = 900, frontier: float = 0.0, spatial: float = 3.0, least: float = 0.0, weight: str | None = "weight") -> DataFrame:
+def refine(cells: DataFrame, k: int, rounds: int = 900, frontier: float = 0.0, spatial: float = 3.0, least: float = 0.0, weight: str | None = "weight", gate: int | None = None) -> DataFrame:
     """Move cells to clusters beside them while that helps; nine rounds are a pass over all cells, and a pass without a move ends it.
 
     Rounds take the cells of one colour of ``(row % 3, col % 3)``, so no two
@@ -62,7 +62,9 @@ def refine(cells: DataFrame, k: int, rounds: int = 900, frontier: float = 0.0, s
     agents the change of it) plus ``frontier`` times the change of the share of
     like neighbours, plus the balance: for weights the fall of both clusters'
     distance from the mean; for agents (``weight`` None) 1 if counts differ by
-    over 2 the right way, -1 the wrong way.  A cluster is never emptied.
+    over 2 the right way, -1 the wrong way.  With a ``gate`` a cell only moves
+    to a cluster that is smaller than its own by more than the gate, and the
+    balance adds nothing.  A cluster is never emptied.
 
     Such gains can run in circles.  A pass follows from the assignment alone, so
     once one returns (a 128-bit digest tells), whole circles are skipped: the
@@ -86,6 +88,8 @@ def refine(cells: DataFrame, k: int, rounds: int = 900, frontier: float = 0.0, s
         if weight:
             return abs(loads[old] - mean) + abs(loads[new] - mean) - abs(loads[old] - w - mean) - abs(loads[new] + w - mean)
         differ = loads[old] - loads[new]
+        if gate is not None:
+            return 0 if differ > gate else -math.inf
         return (differ > 2) - (differ < -2)
 
     def best(r):
@@ -175,13 +179,18 @@ def nearest_points(points: DataFrame, targets: list[tuple[float, float]]) -> lis
     return out
 
 
-def partition_agents(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 450) -> DataFrame:
-    """(row, col, cell_id, cluster_id) of the agents: seeds near lattice points, sizes that differ by one at most, then refinement."""
+def partition_agents(mask: DataFrame, rows: int, cols: int, k: int, rounds: int = 450, gate: int | None = None) -> DataFrame:
+    """(row, col, cell_id, cluster_id) of the agents: seeds near lattice points, sizes that differ by one at most, then refinement.
+
+    The lattice has ceil(sqrt(k)) points a side, of which the first k count, so
+    there are k seeds for every k.  With ``gate=1`` cells only move to clusters
+    that are smaller by over one.
+    """
     agents = cut(mask.where("is_agent").select("row", "col", "cell_id"))
     side = math.ceil(math.sqrt(k))
     down, across = max(1, rows // side), max(1, cols // side)
     targets = [(r, c) for r in range(down // 2, rows, down) for c in range(across // 2, cols, across)][:k]
-    return _partitioned(mask, agents, targets, k, rounds, 0.0, 1.0, 0.1)
+    return _partitioned(mask, agents, targets, k, rounds, 0.0, 1.0, 0.1, gate)
 
 
 def region_centres(rows: int, cols: int, k: int) -> list[tuple[int, int]]:
@@ -208,7 +217,7 @@ def partition_agents_frontier(mask: DataFrame, rows: int, cols: int, k: int, rou
     return _partitioned(mask, agents, region_centres(rows, cols, k), k, rounds, 5.0, 3.0, 0.05)
 
 
-def _partitioned(mask, agents, targets, k, rounds, frontier, spatial, least) -> DataFrame:
+def _partitioned(mask, agents, targets, k, rounds, frontier, spatial, least, gate=None) -> DataFrame:
     n = agents.count()
     seeds = nearest_points(agents, targets)
     if not seeds:
@@ -216,7 +225,7 @@ def _partitioned(mask, agents, targets, k, rounds, frontier, spatial, least) ->
     out = fill_to_capacity(agents, seeds, _even(n, len(seeds)))
     if rounds:
         dense = mask.select("row", "col", "cell_id").join(out.select("cell_id", "cluster_id"), "cell_id", "left").select("row", "col", "cell_id", "cluster_id")
-        out = refine(dense, k, rounds, frontier, spatial, least, None).where("cluster_id IS NOT NULL")
+        out = refine(dense, k, rounds, frontier, spatial, least, None, gate).where("cluster_id IS NOT NULL")
     return out
 
 

@@ -125,10 +125,10 @@ def kmeans_features(rows: DataFrame, k: int, n: int, passes: int = 50, seed: int
     for _ in range(passes):
         literal = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("f"), F.lit(i).alias("k")) for i, c in enumerate(centres)])
         out = rows.withColumn("cluster_id", F.array_min(F.transform(literal, lambda c: F.struct(_distance(F.col("features"), c["f"]).alias("d"), c["k"].alias("k"))))["k"].cast("bigint"))
-        sums = out.select("cluster_id", F.posexplode("features").alias("p", "v")).groupBy("cluster_id", "p").agg(F.avg("v").alias("v")).collect()
+        sums = out.groupBy("cluster_id").agg(F.array(*[F.avg(F.get("features", F.lit(p))) for p in range(len(centres[0]))]).alias("v")).collect()
         new = [list(c) for c in centres]
         for r in sums:
-            new[r["cluster_id"]][r["p"]] = r["v"]
+            new[r["cluster_id"]] = list(r["v"])
         if new == centres:
             break
         centres = new
@@ -136,12 +136,16 @@ def kmeans_features(rows: DataFrame, k: int, n: int, passes: int = 50, seed: int
 
 
 def spectral(edges: DataFrame, k: int, n: int, seed: int = SEED) -> DataFrame:
-    """k-means on the row-normalised eigenvectors of the Laplacian after the first; beyond DENSE vertices, power iteration."""
+    """k-means on the row-normalised eigenvectors of the Laplacian after the first; beyond DENSE vertices, power iteration.
+
+    Every vertex from 0 to n - 1 gets a cluster; in power iteration those without an edge get 0.
+    """
     if n > DENSE:
         from pyspark.ml.clustering import PowerIterationClustering
 
         run = PowerIterationClustering(k=k, maxIter=20, srcCol="src", dstCol="dst")
-        return run.assignClusters(edges.select("src", "dst")).select("id", F.col("cluster").cast("bigint").alias("cluster_id"))
+        found = run.assignClusters(edges.select("src", "dst"))
+        return edges.sparkSession.range(n).join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0)).cast("bigint").alias("cluster_id"))
     a = _adjacency(edges, n)
     _, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a)
     rows = vectors[:, 1 : k + 1]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import ranked
 from ..functions.rng import bits
 from .grid_centres import compact, lloyd
 
@@ -17,14 +18,13 @@ def pore_clusters(soil: DataFrame, k: int, passes: int = 100, seed: int = 42) ->
     if not n:
         return soil.withColumn("cluster_id", F.lit(None).cast("bigint"))
     # Draws are places in the order of cells; k pores reach the driver.
-    place = W.orderBy("cell_id")
     chosen, draw = [], 0
     while len(chosen) < min(k, n):
         p = bits(seed, draw) % n
         draw += 1
         if p not in chosen:
             chosen.append(p)
-    numbered = pores.withColumn("_p", F.row_number().over(place) - 1).where(F.col("_p").isin(chosen))
+    numbered = ranked(pores, [F.col("cell_id")], "_p").where(F.col("_p").isin(chosen))
     at = {r["_p"]: (r["row"], r["col"]) for r in numbered.collect()}
     found = compact(lloyd(pores, ["row", "col"], [at[p] for p in chosen], passes, truncate=True)[0])
     return soil.join(found.select("cell_id", "cluster_id"), "cell_id", "left").select(*soil.columns, "cluster_id")

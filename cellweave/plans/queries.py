@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK
+from ..functions.frames import ranked
 from ..functions.rng import bits_sql
 from ..operators import agents, dag, graph, grid_centres, grid_walks, measures, points, soil
 from ..operators.grid_forms import FORMS, boxes_bsp, perlin_query, phyllotaxis_seeds
@@ -173,7 +174,7 @@ for _name in grids.ALL_WEIGHTS:
 query("mask_random", grids.random_mask_sql(DUCK, 150, 150))(lambda spark, _: spark.sql(grids.random_mask_sql(SPARK, 150, 150)))
 query("mask_discs", grids.disc_mask_sql(DUCK, ROWS, COLS))(lambda spark, _: spark.sql(grids.disc_mask_sql(SPARK, ROWS, COLS)))
 query("soil_random", grids.soil_sql(DUCK, ROWS, COLS))(lambda spark, _: spark.sql(grids.soil_sql(SPARK, ROWS, COLS)))
-query("nematodes", grids.nematodes_sql(DUCK, grids.soil_sql(DUCK, ROWS, COLS), 50))(lambda spark, _: spark.sql(grids.nematodes_sql(SPARK, grids.soil_sql(SPARK, ROWS, COLS), 50)))
+query("nematodes", grids.nematodes_sql(DUCK, grids.soil_sql(DUCK, ROWS, COLS), 50))(lambda spark, _: grids.nematodes(spark.sql(grids.soil_sql(SPARK, ROWS, COLS)), 50))
 query("grid_constant", f"SELECT {_NAMES} FROM {_CELLS} AS g")(lambda spark, _: grids.cells(spark, ROWS, COLS))
 _XY = "SELECT point_id, round(x, 6) AS x, round(y, 6) AS y FROM ({}) AS p"
 for _name in point_sets.DATASETS:
@@ -250,6 +251,7 @@ FROM s a JOIN s b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND
 )(lambda spark, d: agents.coherence(_seeded(spark, d)).select("row", "col", "cell_id", "cluster_id", F.round("coherence", 6).alias("coherence")))
 query("missing_clusters", f"SELECT range AS cluster_id FROM range(12) ANTI JOIN ({_SEEDED}) AS s ON range = cluster_id")(lambda spark, d: agents.missing_clusters(_seeded(spark, d), 12))
 query("agents_lattice")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4))
+query("agents_lattice_gated")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4, gate=1))
 query("agents_frontier")(lambda spark, d: agents.partition_agents_frontier(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 8))
 _AGENTS = f"SELECT i, j, cell_id, CASE WHEN is_agent THEN (i // 10 * 3 + j // 8)::BIGINT END AS cluster_id FROM {_EVENTS} AS e"
 
@@ -527,7 +529,7 @@ def embedding_points(spark: SparkSession, d: str) -> DataFrame:
 query("points_kmeans_embeddings")(lambda spark, d: points.kmeans(embedding_points(spark, d), 10))
 query("points_sweep")(lambda spark, _: points.sweep(point_sets.dataset(spark, "three_blobs")))
 query("points_centroids")(lambda spark, _: points.centroids(points.hue(points.kmeans(point_sets.dataset(spark, "heart_shape"), 4), 4)))
-query("features_kmeans")(lambda spark, d: (lambda e, v: graph.kmeans_features(e.select(F.row_number().over(registry.measures.W.orderBy("vec_id")).alias("id") - 1, F.col(v).cast("array<double>").alias("features")).toDF("id", "features"), 10, e.count()))(table(spark, d, "embeddings"), next(f.name for f in table(spark, d, "embeddings").schema.fields if f.dataType.typeName() == "array")))
+query("features_kmeans")(lambda spark, d: (lambda e, v: graph.kmeans_features(ranked(e.select("vec_id", F.col(v).cast("array<double>").alias("features")), [F.col("vec_id")], "id").select("id", "features"), 10, e.count()))(table(spark, d, "embeddings"), next(f.name for f in table(spark, d, "embeddings").schema.fields if f.dataType.typeName() == "array")))
 
 
 # ---- sinks -----------------------------------------------------------------------------------------------------------

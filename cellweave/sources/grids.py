@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK, Dialect
+from ..functions.frames import ranked
 from ..functions.rng import bits, bits_sql, normal_sql, uniform_sql
 from ..operators.grid_forms import num
 
@@ -178,6 +179,16 @@ def soil_sql(d: Dialect, rows: int, cols: int, seed: int = SEED) -> str:
     return f"SELECT cast(i as int) AS {d.q('row')}, cast(j as int) AS {d.q('col')}, cell_id, {kind} AS cell_type FROM {cells_sql(d, rows, cols)} AS c"
 
 
+def nematodes(soil: DataFrame, count: int, seed: int = SEED) -> DataFrame:
+    """As ``nematodes_sql``, with the pores numbered by a range sort; the entities (``count``, a parameter) are broadcast."""
+    pores = ranked(soil.where("cell_type = 'PORE'").select("row", "col", "cell_id"), [F.col("cell_id")], "nr")
+    n = pores.count()
+    if not n:
+        return pores.select(F.col("nr").alias("entity_id"), "row", "col").limit(0)
+    entities = soil.sparkSession.range(count).selectExpr("id AS entity_id", f"{bits_sql(SPARK, seed, 'id')} % {n} AS nr")
+    return pores.join(F.broadcast(entities), "nr").select("entity_id", "row", "col")
+
+
 def nematodes_sql(d: Dialect, soil: str, count: int, seed: int = SEED) -> str:
     """count entities on pores, drawn with replacement from the pores in the order of cells; none where there is no pore."""
     pores = f"(SELECT {d.q('row')}, {d.q('col')}, row_number() OVER (ORDER BY cell_id) - 1 AS nr, count(*) OVER () AS pores FROM ({soil}) AS s WHERE cell_type = 'PORE')"

@@ -178,3 +178,22 @@ def test_weights(spark):
     lows = {n: grids.weights(spark, n, 20, 30).agg(F.min("weight"), F.max("weight"), F.count("*")).first() for n in grids.ALL_WEIGHTS}
     assert all(r[2] == 600 and 0 <= r[0] <= r[1] <= 255 for r in lows.values())
     assert tuple(lows["power_law"])[:2] == (255, 255) and tuple(lows["sparse_peaks"])[:2] == (10, 255)
+
+
+def test_gated_refinement(spark):
+    mask = spark.sql(grids.random_mask_sql(grids.SPARK, 12, 12, 0.7))
+    dense = mask.select("row", "col", "cell_id", F.expr("CASE WHEN is_agent THEN cast(CASE WHEN row = 0 AND col < 6 THEN 1 ELSE 0 END as bigint) END").alias("cluster_id"))
+    sizes = lambda df: {r["cluster_id"]: r["count"] for r in df.where("cluster_id IS NOT NULL").groupBy("cluster_id").count().collect()}
+    before, after = sizes(dense), sizes(agents.refine(dense, 2, 90, 0.0, 1.0, 0.1, None, gate=1))
+    # Cells only leave the larger cluster, and none moves once the counts are within one.
+    assert sum(after.values()) == sum(before.values()) and before[1] <= after[1] <= after[0] + 1
+    even = agents.partition_agents(mask, 12, 12, 4, rounds=0)
+    gated = agents.partition_agents(mask, 12, 12, 4, gate=1)
+    assert sorted(map(tuple, even.select("cell_id", "cluster_id").collect())) == sorted(map(tuple, gated.select("cell_id", "cluster_id").collect()))
+
+
+def test_nematodes_stand_on_drawn_pores(spark):
+    soil_cells = spark.sql(grids.soil_sql(grids.SPARK, 12, 15))
+    want = spark.sql(grids.nematodes_sql(grids.SPARK, grids.soil_sql(grids.SPARK, 12, 15), 20)).collect()
+    assert sorted(map(tuple, grids.nematodes(soil_cells, 20).collect())) == sorted(map(tuple, want))
+    assert grids.nematodes(soil_cells.where("cell_type <> 'PORE'"), 5).count() == 0
