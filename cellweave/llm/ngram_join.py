@@ -27,8 +27,6 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.binary(
 ROWS = "doc_id bigint, n bigint, cid binary, gram bigint, pos int, single int, grams binary"
 #: Sets of a gram's group that meet in one task; larger groups are divided into blocks.
 BLOCK = 512
-#: Copies of a class that meets in over 1/1024 of the pairs.
-SALTS = 32
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -170,24 +168,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     """(a, b, _a, _b): pairs of classes with the value of both."""
-    total = pairs.count()
-    return _side(_side(pairs, pairs, total, sets, "a", value), pairs, total, sets, "b", value).select("a", "b", "_a", "_b")
-
-
-def _side(rows: DataFrame, pairs: DataFrame, total: int, sets: DataFrame, side: str, value: str) -> DataFrame:
-    """rows of pairs with the value of the class in column ``side`` as ``_<side>``.
-
-    A class in over 1/1024 of the pairs, such as a hub, is copied SALTS times
-    and its pairs are dealt over the copies.
-    """
-    often = pairs.groupBy(side).agg(F.count("*").alias("_n")).where(F.col("_n") * 1024 > F.lit(total)).select(F.col(side).alias("_often"))
-    often = F.broadcast(often)  # fewer than 1024 names
-    other = "b" if side == "a" else "a"
-    salt = F.when(F.col("_often").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")
-    dealt = rows.join(often, F.col(side) == F.col("_often"), "left").withColumn("_salt", salt).drop("_often")
-    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("_often").isNull(), 0).otherwise(SALTS - 1)))
-    held = sets.join(often, F.col("cid") == F.col("_often"), "left").select(F.col("cid").alias(side), copies.alias("_salt"), F.col(value).alias(f"_{side}"))
-    return dealt.join(held, [side, "_salt"]).drop("_salt")
+    one, two = (sets.select(F.col("cid").alias(c), F.col(value).alias(f"_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
