@@ -214,28 +214,17 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, label): the smallest cid that links (a, b) lead to, by minimum labels and pointer jumps until none changes.
-
-    Nodes with many links and labels of many nodes are looked up apart, so no
-    task gets all links of a hub or all nodes of a component.
-    """
+    """(cid, label): the smallest cid that links (a, b) lead to, by minimum labels and pointer jumps until none changes."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    number = edges.count()
-    nodes = edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label"), (F.count("*") * 1024 > F.lit(number)).alias("_hot"))
-    labels = cut(nodes)
-    total = labels.count()
-    while total:
-        at = looked_up(edges, labels.withColumnRenamed("cid", "b"), "b", F.col("a"))
-        near = at.groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
-        lower = cut(labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("to"), "_hot"))
-        often = lower.groupBy("to").agg(F.count("*").alias("_n")).where(F.col("_n") * 1024 > F.lit(total)).select("to", F.lit(True).alias("_often"))
-        far = lower.select(F.col("cid").alias("to"), F.col("to").alias("far")).join(F.broadcast(often), "to", "left").select("to", "far", F.coalesce("_often", F.lit(False)).alias("_hot"))
-        jumped = looked_up(lower, far, "to", F.col("cid"))
-        moved = cut(jumped.select("cid", F.least("to", "far").alias("label"), "_hot", (F.least("to", "far") != F.col("label")).alias("_moved")))
+    labels = cut(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = edges.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("to"))
+        jumped = lower.join(labels.select(F.col("cid").alias("to"), F.col("label").alias("far")), "to")
+        moved = cut(jumped.select("cid", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("_moved")))
         labels = moved.drop("_moved")
         if not moved.where("_moved").limit(1).count():
-            break
-    return labels.select("cid", "label")
+            return labels
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
