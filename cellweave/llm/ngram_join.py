@@ -213,17 +213,22 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _met(pairs, signs, "sign").mapInArrow(_possible, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, label): the smallest cid that links (a, b) lead to, by minimum labels and pointer jumps until none changes."""
+def components(links: DataFrame, classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(cid, label) of the classes that links (a, b) touch: the least (first, cid) that links lead to, by minimum labels and pointer jumps until none changes.
+
+    ``known`` are labels that some of the links led to; the search goes on from them.
+    """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    own = F.struct("first", "cid")
+    met = classes.join(edges.select(F.col("a").alias("cid")).distinct(), "cid")
+    labels = cut(met.select("cid", own.alias("label")) if known is None else met.join(known, "cid", "left").select("cid", F.coalesce("label", own).alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("to"))
-        jumped = lower.join(labels.select(F.col("cid").alias("to"), F.col("label").alias("far")), "to")
+        jumped = lower.join(labels.select(F.col("cid").alias("_at"), F.col("label").alias("far")), F.col("to.cid") == F.col("_at"))
         moved = cut(jumped.select("cid", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("_moved")))
         labels = moved.drop("_moved")
-        if not moved.where("_moved").limit(1).count():
+        if moved.where("_moved").isEmpty():
             return labels
 
 
@@ -254,7 +259,7 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, tested: DataFrame, number
     A group of over BLOCK sets is divided into blocks; each pair of blocks meets
     in a task of its own.
     """
-    joined = cut(entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label", "cid").alias("label")))
+    joined = cut(entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label.cid", "cid").alias("label")))
     groups = joined.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
     mixed = groups.select("gram", (F.col("_n") / BLOCK).cast("int").alias("_last"), (F.col("_n") * 1024 > F.lit(number)).alias("_hot"))
     left = cut(looked_up(joined, cut(mixed), "gram", F.col("cid")).where("_last IS NOT NULL").distinct())
@@ -315,7 +320,7 @@ def _components_of(rows: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) from the rows of ``_prefixes``."""
     named = rows.where("gram IS NULL AND grams IS NULL").select("doc_id", "n", "cid")
     classes = cut(named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
-    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     entries = rows.where("gram IS NOT NULL").select("gram", "cid", "n", F.col("pos").cast("bigint").alias("pos"), "single")
     whole = rows.where("grams IS NOT NULL").select("cid", "doc_id", "grams")
     # A class has its grams once a chunk; those of its first document stay.
@@ -324,15 +329,14 @@ def _components_of(rows: DataFrame) -> DataFrame:
     many = entries.count()
     tested = cut(_hub_pairs(entries, many))
     links = cut(verified(tested, sets))
-    labels = components(links)
+    labels = components(links, classes)
     rest = cut(_open_pairs(entries, labels, tested, many))
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         more = cut(verified(cut(possible(rest, sets)), sets))
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-    ends = cut(classes.join(labels, "cid", "left").select("cid", "first", "_n", F.coalesce("label", "cid").alias("label")))
-    least = ends.groupBy("label").agg(F.min("first").alias("component_id"), (F.count("*") * 1024 > F.lit(total[1])).alias("_hot"))
-    found = looked_up(ends, cut(least), "label", F.col("cid")).select("cid", "component_id", (F.col("_n") * 1024 > F.lit(total[0])).alias("_hot"))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), classes, labels)
+    # A label begins with the smallest doc_id of its component, so no join on labels is left.
+    found = classes.join(labels, "cid", "left").select("cid", F.coalesce("label.first", "first").alias("component_id"), (F.col("_n") * 1024 > F.lit(total)).alias("_hot"))
     out = looked_up(named, cut(found), "cid", F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
