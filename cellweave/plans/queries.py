@@ -340,22 +340,7 @@ def _blocks(spark: SparkSession) -> DataFrame:
 
 query("attachment_tree", f"SELECT src, dst FROM {_TREE} AS t")(lambda spark, _: _tree(spark))
 query("supply_graph", "SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem")(supply_graph)
-_SPARSE = "(SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1)"
-
-
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of the first line items of every 50th order: a definition of a sparse graph, with many components."""
-    return table(spark, d, "lineitem").where("l_orderkey % 50 = 0 AND l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 10**9).alias("dst")).distinct()
-
-
-query(
-    "connected_components",
-    f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {_SPARSE} UNION SELECT dst, src FROM {_SPARSE}),
-r AS (SELECT a AS id, a AS to FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.to = e.a) SELECT id, min(to) AS component FROM r GROUP BY id""".replace(" AS to", " AS t").replace("r.to", "r.t").replace("min(to)", "min(t)"),
-)(lambda spark, d: graph.components(graph.vertices_of(_sparse(spark, d)), _sparse(spark, d)))
-query(
-    "supply_components",
-    """WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem), e AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
+_COMPONENTS = """WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem), e AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
 r AS (
   SELECT DISTINCT a AS id, a AS t, 0 AS p FROM e
   UNION ALL
@@ -363,8 +348,28 @@ r AS (
     SELECT *, bool_or(t < old) OVER () AS moved
     FROM (SELECT o.id, o.t AS old, o.p + 1 AS p, least(o.t, min(n.t)) AS t FROM r o JOIN e ON e.a = o.id JOIN r n ON n.id = e.b GROUP BY o.id, o.t, o.p) AS s
   ) AS m WHERE moved
-) SELECT id, arg_max(t, p) AS component FROM r GROUP BY id""",
-)(lambda spark, d: graph.components(graph.vertices_of(supply_graph(spark, d)), supply_graph(spark, d)))
+) SELECT id, arg_max(t, p) AS component FROM r GROUP BY id"""
+
+
+def supply_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the whole graph of suppliers and parts."""
+    g = supply_graph(spark, d)
+    return graph.components(graph.vertices_of(g), g)
+
+
+for _name in ("connected_components", "supply_components"):
+    query(_name, _COMPONENTS)(supply_components)
+
+
+def _vertices(spark: SparkSession) -> DataFrame:
+    """The layout's vertices, each its own colour."""
+    return graph.layout(_tree(spark), N).withColumn("cluster_id", F.col("id"))
+
+
+query("cluster_png")(lambda spark, _: sinks.png_strips(sinks.cluster_pixels(registry.partition_grid(spark, ROWS, COLS, K, "honeycomb"))))
+query("events_png")(lambda spark, d: sinks.png_strips(sinks.weight_pixels(QUERIES["events_grid"](spark, d), "weight")))
+query("points_png")(lambda spark, _: sinks.png_strips(sinks.point_pixels(_vertices(spark), 200)))
+query("graph_png")(lambda spark, _: sinks.png_strips(sinks.graph_pixels(_vertices(spark), _tree(spark), 200)))
 query("graph_layout")(lambda spark, _: graph.layout(_tree(spark), N))
 query("graph_kmeans_layout")(lambda spark, _: graph.kmeans_layout(graph.layout(_tree(spark), N), 5, N))
 query("graph_label_propagation")(lambda spark, _: graph.label_propagation(spark.range(N), _tree(spark), 5))
