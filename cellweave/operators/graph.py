@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut
-from ..functions.rng import bits, bits_sql, uniform
+from ..functions.rng import bits, bits_sql, uniform, uniform_sql
 from ..functions.dialect import SPARK
 from .grid_centres import lloyd
 
 SEED = 42
-#: Dense matrices of a graph are made on the driver up to this many vertices; beyond, other ways or an error.
+#: Dense matrices of a graph are made on the driver up to this many vertices; beyond, the same by joins (spectral) or an error.
 DENSE = 2000
+#: Subspace iteration: vectors beside the wanted ones, the filter's gain a round, and the residual, in shares of the largest eigenvalue's bound, at which it ends.
+SPARE, GAIN, SETTLED = 4, 1e5, 1e-7
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -135,25 +139,104 @@ def kmeans_features(rows: DataFrame, k: int, n: int, passes: int = 50, seed: int
     return out.select("id", "cluster_id")
 
 
-def spectral(edges: DataFrame, k: int, n: int, seed: int = SEED) -> DataFrame:
-    """k-means on the row-normalised eigenvectors of the Laplacian after the first; beyond DENSE vertices, power iteration.
+def _applied(ways: DataFrame, state: DataFrame, p: int) -> DataFrame:
+    """state (id, degree, x, ...) with ``lx``, the Laplacian applied to the p vectors whose entries at a vertex are x."""
+    near = ways.join(state.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.array(*[F.sum(F.get("x", F.lit(j))) for j in range(p)]).alias("near"))
+    none = F.array_repeat(F.lit(0.0), p)
+    return state.join(near, "id", "left").withColumn("lx", F.zip_with("x", F.coalesce("near", none), lambda v, s: F.col("degree") * v - s)).drop("near")
+
+
+def _products(full: DataFrame, p: int) -> np.ndarray:
+    """x'x, x'Lx and (Lx)'Lx over all vertices; the driver gets 3 p * p sums a partition."""
+
+    def part(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        total = np.zeros((3, p, p))
+        for batch in batches:
+            if len(batch):
+                x, lx = np.stack(batch["x"]), np.stack(batch["lx"])
+                total += np.stack([x.T @ x, x.T @ lx, lx.T @ lx])
+        yield pd.DataFrame({"sums": [total.ravel().tolist()]})
+
+    found = full.select("x", "lx").mapInPandas(part, "sums array<double>").collect()
+    return np.sum([r["sums"] for r in found], axis=0).reshape(3, p, p)
+
+
+def _turned(full: DataFrame, by: np.ndarray) -> DataFrame:
+    def turn(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if len(batch):
+                batch["x"] = list(np.stack(batch["x"]) @ by)
+                yield batch
+
+    return full.select("id", "degree", "x").mapInPandas(turn, "id bigint, degree bigint, x array<double>")
 
-    Every vertex from 0 to n - 1 gets a cluster; in power iteration those without an edge get 0.
-    """
-    if n > DENSE:
-        from pyspark.ml.clustering import PowerIterationClustering
 
-        run = PowerIterationClustering(k=k, maxIter=20, srcCol="src", dstCol="dst")
-        found = run.assignClusters(edges.select("src", "dst"))
-        return edges.sparkSession.range(n).join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(0)).cast("bigint").alias("cluster_id"))
+def low_vectors(edges: DataFrame, k: int, n: int, rounds: int = 100, seed: int = SEED) -> DataFrame:
+    """(id, features): the entries of the Laplacian's k eigenvectors after the first, for vertices 0 to n - 1.
+
+    Subspace iteration with a Chebyshev filter: a step is one join of the edges
+    with the vectors; after a round's steps the vectors are made orthogonal by
+    matrices of (k + 5)**2 sums, all that the driver holds.  It ends when the
+    residuals of all wanted vectors have settled, or after ``rounds`` rounds.
+    """
+    ways = cut(both_ways(edges).where("src <> dst").distinct())
+    p = min(n, k + 1 + SPARE)
+    degrees = cut(ways.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")))
+    # No eigenvalue exceeds twice the largest degree.
+    top = 2.0 * (degrees.agg(F.max("degree")).first()[0] or 0.5)
+    start = F.array(F.lit(1.0), *[F.expr(uniform_sql(SPARK, seed + j, "id")) - 0.5 for j in range(1, p)])
+    state = cut(edges.sparkSession.range(n).join(degrees, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), start.alias("x")))
+    for made in range(rounds + 1):
+        full = cut(_applied(ways, state, p))
+        same, once, twice = _products(full, p)
+        weights, basis = np.linalg.eigh((same + same.T) / 2)
+        held = weights > 1e-13 * weights.max()
+        basis = basis[:, held] / np.sqrt(weights[held])
+        inner = basis.T @ once @ basis
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        basis = basis @ turn
+        p = len(values)
+        state = cut(_turned(full, basis))
+        residual = np.sqrt(np.maximum(np.diag(basis.T @ twice @ basis) - values**2, 0))
+        if made == rounds or residual[: k + 1].max() <= SETTLED * top:
+            break
+        # Eigenvalues from the last one found to the bound are damped; steps so many that 0 gains GAIN on them.
+        low = min(max(values[-1], 1e-9 * top), 0.9 * top)
+        half, middle = (top - low) / 2, (top + low) / 2
+        first = share = -half / middle
+        state = state.withColumn("before", F.transform("x", lambda v: v * 0.0))
+        for step in range(max(2, int(math.acosh(GAIN) / math.acosh(middle / half)))):
+            following = 1 / (2 / first - share) if step else first
+            scale, back = (2 if step else 1) * following / half, share * following if step else 0.0
+            grown = F.zip_with("lx", "x", lambda y, v: scale * (y - middle * v))
+            state = cut(_applied(ways, state, p).select("id", "degree", F.zip_with(grown, F.col("before"), lambda y, v: y - back * v).alias("new"), F.col("x").alias("before")).withColumnRenamed("new", "x"))
+            share = following
+    return state.select("id", F.slice("x", 2, k).alias("features"))
+
+
+def _dense_vectors(edges: DataFrame, k: int, n: int) -> DataFrame:
+    """The same as ``low_vectors``, from a dense matrix on the driver."""
     a = _adjacency(edges, n)
     _, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a)
-    rows = vectors[:, 1 : k + 1]
+    return edges.sparkSession.createDataFrame([(v, [float(x) for x in r]) for v, r in enumerate(vectors[:, 1 : k + 1])], "id bigint, features array<double>")
+
+
+def spectral(edges: DataFrame, k: int, n: int, seed: int = SEED) -> DataFrame:
+    """k-means on the row-normalised eigenvectors of the Laplacian after the first, at every size; beyond DENSE vertices they come from joins.
+
+    Every vertex from 0 to n - 1 gets a cluster, with edges or without.
+    """
+    vectors = cut(_dense_vectors(edges, k, n) if n <= DENSE else low_vectors(edges, k, n, seed=seed))
+    width = min(k, n - 1)
     # Signs and bases of equal eigenvalues are open; fix the sign by the largest entry.
-    rows = rows * np.where(rows[np.abs(rows).argmax(0), np.arange(rows.shape[1])] < 0, -1, 1)
-    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    frame = edges.sparkSession.createDataFrame([(v, [float(x) for x in r]) for v, r in enumerate(rows)], "id bigint, features array<double>")
-    return kmeans_features(frame, k, n, seed=seed)
+    entry = [F.get("features", F.lit(j)) for j in range(width)]
+    largest = vectors.agg(*[F.max_by(x, F.struct(F.abs(x), -F.col("id"))).alias(f"x{j}") for j, x in enumerate(entry)]).first() if width else []
+    signed = vectors.withColumn("features", F.array(*[-x if at is not None and at < 0 else x for x, at in zip(entry, largest, strict=True)]).cast("array<double>"))
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x))
+    rows = cut(signed.withColumn("_norm", F.greatest(norm, F.lit(1e-12))).select("id", F.transform("features", lambda x: x / F.col("_norm")).alias("features")))
+    return kmeans_features(rows, k, n, seed=seed)
 
 
 def grid_spectral(rows: int, cols: int, k: int, spark) -> DataFrame:

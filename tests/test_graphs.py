@@ -110,6 +110,26 @@ def test_graph_clusterings(spark):
         assert sorted(r.id for r in way.collect())[:8] == list(range(8))
 
 
+def test_spectral_by_joins(spark, monkeypatch):
+    """Beyond DENSE vertices the eigenvectors are those of the dense matrix, up to their sign, and so are the clusters."""
+    rows, first = [], 0
+    for size in (4, 6, 9):  # cliques in a row
+        rows += [(a, b) for a in range(first, first + size) for b in range(a + 1, first + size)] + [(first - 1, first)] * (first > 0)
+        first += size
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint")
+    dense = {r.id: r.features for r in graph._dense_vectors(edges, 2, first).collect()}
+    found = {r.id: r.features for r in graph.low_vectors(edges, 2, first).collect()}
+    assert found.keys() == dense.keys()
+    for j in range(2):
+        assert abs(sum(dense[v][j] * found[v][j] for v in dense)) == pytest.approx(1, abs=1e-6)
+    small = _by(graph.spectral(edges, 3, first))
+    monkeypatch.setattr(graph, "DENSE", 5)
+    large = _by(graph.spectral(edges, 3, first))
+    assert {c: {x.id for x in rs} for c, rs in small.items()} == {c: {x.id for x in rs} for c, rs in large.items()}
+    # A vertex without an edge gets a cluster, too.
+    assert sorted(x.id for rs in _by(graph.spectral(edges, 3, first + 1)).values() for x in rs) == list(range(first + 1))
+
+
 def _reached(vertices, pairs):
     near = collections.defaultdict(set)
     for a, b in pairs:
