@@ -248,6 +248,13 @@ def cluster_metrics(cells: DataFrame, k: int) -> DataFrame:
     return away.crossJoin(near).select("avg_weight", F.round("d", 6).alias("max_weight_deviation"), F.round("c", 6).alias("avg_connectivity"))
 
 
+def imbalance(cells: DataFrame, k: int) -> DataFrame:
+    """One row: the heaviest minus the lightest of the weights of clusters 0 to k - 1; a cluster without cells weighs 0."""
+    every = cells.sparkSession.range(k).select(F.col("id").alias("cluster_id"))
+    weight = F.coalesce("weight", F.lit(0))
+    return every.join(cluster_weights(cells), "cluster_id", "left").agg((F.max(weight) - F.min(weight)).alias("imbalance"))
+
+
 def missing_clusters(cells: DataFrame, k: int) -> DataFrame:
     """The clusters below k that no cell has."""
     return cells.sparkSession.range(k).select(F.col("id").alias("cluster_id")).join(cells.select("cluster_id").distinct(), "cluster_id", "left_anti")

@@ -249,6 +249,7 @@ query(
 round(avg(CASE WHEN b.cluster_id = a.cluster_id THEN 1 ELSE 0 END), 6) AS coherence
 FROM s a JOIN s b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 AND a.cell_id <> b.cell_id GROUP BY ALL""",
 )(lambda spark, d: agents.coherence(_seeded(spark, d)).select("row", "col", "cell_id", "cluster_id", F.round("coherence", 6).alias("coherence")))
+query("weight_imbalance", f"SELECT (max(coalesce(w, 0)) - min(coalesce(w, 0)))::BIGINT AS imbalance FROM range(9) LEFT JOIN (SELECT cluster_id, sum(weight) AS w FROM ({_SEEDED}) AS s GROUP BY 1) ON range = cluster_id")(lambda spark, d: agents.imbalance(_seeded(spark, d), 9))
 query("missing_clusters", f"SELECT range AS cluster_id FROM range(12) ANTI JOIN ({_SEEDED}) AS s ON range = cluster_id")(lambda spark, d: agents.missing_clusters(_seeded(spark, d), 12))
 query("agents_lattice")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4))
 query("agents_lattice_gated")(lambda spark, d: agents.partition_agents(purchase_mask(spark, d), EVENT_ROWS, EVENT_COLS, 4, gate=1))
@@ -268,6 +269,19 @@ query(
 p AS (SELECT *, len(list_filter(beside, lambda v: v <> cluster_id)) AS n FROM b WHERE cluster_id IS NOT NULL)
 SELECT {_NAMES}, cluster_id, round(n / len(beside), 6) AS penalty FROM p WHERE n > 0""",
 )(lambda spark, d: agents.frontier(_agent_cells(spark, d)))
+query(
+    "agent_coherence",
+    f"""WITH a AS ({_AGENTS}) SELECT a.i::INT AS "row", a.j::INT AS "col", a.cell_id, a.cluster_id,
+round(coalesce(avg(CASE WHEN b.cluster_id = a.cluster_id THEN 1 WHEN b.cluster_id IS NOT NULL THEN 0 END), 0), 6) AS coherence
+FROM a LEFT JOIN a b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 AND a.cell_id <> b.cell_id WHERE a.cluster_id IS NOT NULL GROUP BY ALL""",
+)(lambda spark, d: agents.coherence(_agent_cells(spark, d)).where("cluster_id IS NOT NULL").select("row", "col", "cell_id", "cluster_id", F.round("coherence", 6).alias("coherence")))
+query(
+    "agent_neighbour_clusters",
+    f"""WITH a AS ({_AGENTS}), p AS (SELECT a.i, a.j, a.cell_id, a.cluster_id, b.cluster_id AS other
+FROM a LEFT JOIN a b ON abs(b.i - a.i) + abs(b.j - a.j) = 1 WHERE a.cluster_id IS NOT NULL)
+SELECT {_NAMES}, cluster_id, list_sort(list_distinct(list(other))) AS clusters FROM p GROUP BY i, j, cell_id, cluster_id""",
+    "clusters",
+)(lambda spark, d: agents.surroundings(_agent_cells(spark, d)).where("cluster_id IS NOT NULL").select("row", "col", "cell_id", "cluster_id", F.array_sort(F.array_distinct("beside")).alias("clusters")))
 query("communication_edges", f"WITH a AS ({_AGENTS}) SELECT count(*) AS communication_edges FROM a JOIN a b ON (b.cell_id = a.cell_id + 1 AND b.i = a.i OR b.cell_id = a.cell_id + {EVENT_COLS}) AND a.cluster_id <> b.cluster_id")(lambda spark, d: agents.communication(_agent_cells(spark, d)))
 
 
