@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -203,6 +203,33 @@ def pack_largest_first(sizes: Sequence[int], bins: int) -> list[int]:
     return where
 
 
+#: Of the sizes that are equal, in their order, those from first to end: (size, first, end).
+Run = tuple[int, int, int]
+
+
+def pack_runs(counts: Iterable[tuple[int, int]], bins: int) -> list[tuple[Run, list[int]]]:
+    """``pack_largest_first`` of (size, count) with the largest size first: runs, and the bins that take a run's sizes in turn.
+
+    The least loaded bin's load is the least of load + n * size over all bins
+    and n; so bins take turns in the order of the rest of load by size, each
+    from the round on in which it is reached.
+    """
+    loads, out = [0] * max(1, bins), []
+    for size, count in counts:
+        low, done = min(loads), 0
+        place = [divmod(x - low, size) for x in loads]
+        rounds = sorted({q for q, _ in place})
+        for q, after in zip(rounds, [*rounds[1:], None], strict=True):
+            turn = sorted((b for b in range(len(loads)) if place[b][0] <= q), key=lambda b: (place[b][1], b))
+            end = count if after is None else min(count, done + (after - q) * len(turn))
+            if end > done:
+                out.append(((size, done, end), turn))
+            for n, b in enumerate(turn):
+                loads[b] += size * ((end - done + len(turn) - 1 - n) // len(turn))
+            done = end
+    return out
+
+
 #: A piece of a subtree's nodes in depth-first order: (subtree, first, end).
 Piece = tuple[int, int, int]
 
@@ -282,8 +309,8 @@ def _relabelled(assignment: DataFrame, new: dict[int, int]) -> DataFrame:
     return assignment.join(F.broadcast(rows), "cluster_id").select(*[F.col("_new").alias("cluster_id") if c == "cluster_id" else c for c in assignment.columns])
 
 
-def _decompose(edges: DataFrame, root: int | None):
-    """The tree's longest path, those of oversized subtrees, (node, subtree, key) of all other nodes, and (subtree, size) in order.
+def _decomposed(edges: DataFrame, root: int | None):
+    """The tree's longest path, those of oversized subtrees, (node, subtree, key) of all other nodes, and (subtree, size, at), at being the order.
 
     An oversized subtree is replaced by the subtrees off its own longest path;
     all of them are split in one pass.
@@ -296,37 +323,69 @@ def _decompose(edges: DataFrame, root: int | None):
     longest = F.max(F.struct(F.size("rel"), F.transform("rel", lambda x: -x).alias("p")))["p"]
     own = cut(big.groupBy("subtree").agg(F.transform(longest, lambda x: -x).alias("lp"), F.min("spot").alias("_spot"), F.min("root_ord").alias("_ord")))
     split = big.join(own, "subtree").where(~F.array_contains("lp", F.col("node"))).withColumn("_c", F.size(F.array_intersect("rel", "lp")))
-    below = cut(split.select("node", F.get("rel", F.col("_c")).alias("subtree"), F.col("relkey").alias("key"), "_spot", "_ord", F.struct(F.col("_c").alias("c"), F.get("relkey", F.col("_c") - 1).alias("o")).alias("_in")))
+    below = cut(split.select("node", F.get("rel", F.col("_c")).alias("subtree"), F.col("relkey").alias("key"), "_spot", "_ord", F.col("_c"), F.get("relkey", F.col("_c") - 1).alias("_o")))
     rest = hanging.join(sizes.where("oversized").select("subtree"), "subtree", "left_anti").select("node", "subtree", "key")
-    order = [(r["subtree"], r["size"]) for r in sizes.where("NOT oversized").orderBy("spot", "root_ord").collect()]
-    order += [(r["subtree"], r["n"]) for r in below.groupBy("subtree", "_spot", "_ord", "_in").agg(F.count("*").alias("n")).orderBy("_spot", "_ord", "_in").collect()]
+    at = lambda step, *columns: F.struct(F.lit(step).alias("step"), *[F.expr(c).cast("bigint").alias(n) for n, c in zip(("spot", "ord", "c", "o"), columns, strict=True)]).alias("at")
+    whole = sizes.where("NOT oversized").select("subtree", "size", at(0, "spot", "root_ord", "0", "0"))
+    parts = below.groupBy("subtree", "_spot", "_ord", "_c", "_o").agg(F.count("*").alias("size")).select("subtree", "size", at(1, "_spot", "_ord", "_c", "_o"))
     more = [list(r["lp"]) for r in own.orderBy("_spot", "_ord").collect()]
-    return path, more, cut(rest.unionByName(below.select("node", "subtree", "key"))), order
+    return path, more, cut(rest.unionByName(below.select("node", "subtree", "key"))), cut(whole.unionByName(parts))
+
+
+def _listed(order: DataFrame) -> list[tuple[int, int]]:
+    """(subtree, size) in order, on the driver: for few subtrees."""
+    return [(r["subtree"], r["size"]) for r in order.orderBy("at").collect()]
+
+
+def _decompose(edges: DataFrame, root: int | None):
+    """``_decomposed`` with the subtrees as a list, for small trees."""
+    path, more, hanging, order = _decomposed(edges, root)
+    return path, more, hanging, _listed(order)
+
+
+def _size_counts(order: DataFrame) -> list[tuple[int, int]]:
+    """(size, count), the largest first: about the root of twice the nodes at most."""
+    return sorted(((r["size"], r["count"]) for r in order.groupBy("size").count().collect()), reverse=True)
+
+
+def _labelled(order: DataFrame, counts: list[tuple[int, int]], runs: list[tuple[Run, list[int]]]) -> DataFrame:
+    """(subtree, cluster_id): of a run's subtrees, in order, each takes the next of its clusters in turn."""
+    spark, start, starts = order.sparkSession, 0, {}
+    for size, count in counts:
+        starts[size] = start
+        start += count
+    rows = [(s, starts[s] + a, starts[s] + b, clusters) for (s, a, b), clusters in runs]
+    table = spark.createDataFrame(rows, "size bigint, _a bigint, _b bigint, _clusters array<bigint>")
+    placed = ranked(order, [-F.col("size"), F.col("at"), F.col("subtree")])
+    met = placed.join(F.broadcast(table), "size").where((F.col("rank") >= F.col("_a")) & (F.col("rank") < F.col("_b")))
+    turn = F.get("_clusters", F.pmod(F.col("rank") - F.col("_a"), F.size("_clusters")).cast("int"))
+    return met.groupBy("subtree").agg(F.max_by(turn, "at").alias("cluster_id"))
 
 
 def partition_longest_path(edges: DataFrame, k: int, root: int | None = None) -> DataFrame:
     """(node, cluster_id): subtrees off the longest path packed into k-1 clusters, the path as one more, its tail moved, merged to k.
 
-    The driver holds paths and one row a subtree or cluster; nodes stay
-    distributed and are labelled by joins.
+    The driver holds paths and one row a cluster or different size of subtrees;
+    nodes and subtrees stay distributed and are labelled by joins.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    path, more, hanging, order = _decompose(edges, root)
+    path, more, hanging, order = _decomposed(edges, root)
     spark = edges.sparkSession
-    bins = pack_largest_first([s for _, s in order], max(1, k - 1))
-    used = {b: n for n, b in enumerate(sorted(set(bins)))}
-    of_subtree = {s: used[b] for (s, _), b in zip(order, bins, strict=True)}
+    counts = _size_counts(order)
+    packed = pack_runs(counts, max(1, k - 1))
+    used = {b: n for n, b in enumerate(sorted({b for (_, first, end), turn in packed for b in turn[: end - first]}))}
+    labels = cut(_labelled(order, counts, [(run, [used.get(b, -1) for b in turn]) for run, turn in packed]))
     own = len(used)
     paths = [path, *more]
     on_path = {n: own for p in paths for n in p}
     off = _off_children(edges, paths)
-    cluster_of = {c: of_subtree[c] for children in off.values() for c in children if c in of_subtree}
+    first = spark.createDataFrame([(int(c[0]),) for c in off.values()], "subtree bigint")
+    cluster_of = {r["subtree"]: r["cluster_id"] for r in labels.join(first, "subtree").collect()}
     for p in paths:
         moved = path_moves(p, {n: off.get(n, []) for n in p}, cluster_of)
         on_path |= moved
         cluster_of |= moved
-    labels = spark.createDataFrame(list(of_subtree.items()) or [(-1, 0)], "subtree bigint, cluster_id bigint")
     path_rows = spark.createDataFrame(list(on_path.items()), "node bigint, cluster_id bigint")
     out = cut(hanging.join(labels, "subtree").select("node", "cluster_id").unionByName(path_rows))
     counts = {r[0]: r[1] for r in out.groupBy("cluster_id").count().collect()}
@@ -339,13 +398,11 @@ def partition_longest_path(edges: DataFrame, k: int, root: int | None = None) ->
 
 
 def _off_children(edges: DataFrame, paths: list[list[int]]) -> dict[int, list[int]]:
-    """Children off the paths of the nodes on them, in the order of edges."""
-    on = [int(n) for p in paths for n in p]
-    kept = edges.where(F.col("parent").isin(on) & ~F.col("child").isin(on)).orderBy("ord").select("parent", "child").collect()
-    out: dict[int, list[int]] = {}
-    for parent, child in kept:
-        out.setdefault(parent, []).append(child)
-    return out
+    """Of the nodes on the paths, the first child off them by the order of edges; twice, if there are more."""
+    on = edges.sparkSession.createDataFrame([(int(n),) for p in paths for n in p], "_on bigint").distinct()
+    kept = edges.join(F.broadcast(on), F.col("parent") == F.col("_on"), "left_semi").join(F.broadcast(on), F.col("child") == F.col("_on"), "left_anti")
+    found = kept.groupBy("parent").agg(F.min(F.struct("ord", "child"))["child"].alias("first"), F.count("*").alias("n"))
+    return {r["parent"]: [r["first"]] * min(2, r["n"]) for r in found.collect()}
 
 
 def partition_critical_path(edges: DataFrame, k: int, root: int | None = None) -> DataFrame:

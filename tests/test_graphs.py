@@ -83,6 +83,49 @@ def test_packing_and_merging():
     assert sorted(dag.halve_until([(1, 0, 5), (2, 0, 1)], 4)) == [(1, 0, 2), (1, 2, 3), (1, 3, 5), (2, 0, 1)]
 
 
+def _most_collected(monkeypatch, frame) -> list[int]:
+    """Gets the number of rows of each collect() from now on."""
+    kind, found = type(frame), []
+    real = kind.collect
+
+    def collect(self):
+        out = real(self)
+        found.append(len(out))
+        return out
+
+    monkeypatch.setattr(kind, "collect", collect)
+    return found
+
+
+@pytest.fixture(scope="module")
+def twigs(spark):
+    """A path of 12 whose second node has 300 twigs, and an oversized subtree of 200 twigs."""
+    rows = [(n + 1, n) for n in range(11)] + [(100 + n, 1) for n in range(300)] + [(50, 0)] + [(500 + n, 50) for n in range(200)]
+    return dag.cut(spark.createDataFrame([(n, c, p) for n, (c, p) in enumerate(rows)], trees.SCHEMA))
+
+
+def test_longest_path_partition_keeps_subtrees_off_the_driver(twigs, monkeypatch):
+    found = _most_collected(monkeypatch, twigs)
+    out = dag.partition_longest_path(twigs, 5)
+    assert max(found) < 20
+    monkeypatch.undo()
+    sizes = collections.Counter(r.cluster_id for r in out.collect())
+    assert sum(sizes.values()) == 513 and len(sizes) == 5
+    # 499 twigs in four bins, one joined by the path of the split subtree, one by the path's end.
+    assert max(sizes[c] for c in range(4)) <= 125 + 12
+
+
+def test_runs_are_packed_as_single_sizes():
+    draw = random.Random(3)
+    for _ in range(300):
+        sizes = [draw.choice([1, draw.randint(1, 20)]) for _ in range(draw.randint(0, 60))]
+        bins, spots = draw.randint(1, 9), collections.defaultdict(list)
+        for n, s in enumerate(sizes):
+            spots[s].append(n)
+        got = {spots[s][t]: turn[(t - a) % len(turn)] for (s, a, b), turn in dag.pack_runs(sorted(collections.Counter(sizes).items(), reverse=True), bins) for t in range(a, b)}
+        assert [got[n] for n in range(len(sizes))] == dag.pack_largest_first(sizes, bins)
+
+
 def test_edge_scores_of_a_tree(spark):
     edges = trees.attachment_tree(spark, 30)
     below = collections.Counter(range(30))
