@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterable, Sequence
 
@@ -230,6 +231,60 @@ def pack_runs(counts: Iterable[tuple[int, int]], bins: int) -> list[tuple[Run, l
     return out
 
 
+def merge_runs(counts: Iterable[tuple[int, int]], last: Sequence[int], k: int) -> list[list[Run]]:
+    """The two smallest of sizes merged until there are k: the groups as runs, the last merged first, then by size.
+
+    Of equal sizes the last merged go first, then ``counts`` (size, count), then
+    ``last``, whose runs are (-1, place, place + 1).  Equal neighbours are
+    merged by halving whole runs, so the work grows with the different sizes.
+    """
+    # A block is a group's runs, or (size, first, end, width, back): groups of ``width`` sizes each, from the end if ``back``.
+    heap: list[tuple[int, int, list[Run] | tuple]] = [(s, 0, (s, 0, n, 1, False)) for s, n in counts]
+    heap += [(s, n + 1, [(-1, n, n + 1)]) for n, s in enumerate(last)]
+    heapq.heapify(heap)
+    left = sum(b[2] for _, _, b in heap if isinstance(b, tuple)) + len(last)
+
+    def divided(block, n: int):
+        """The first n groups of a block, and the others or None."""
+        if isinstance(block, list):
+            return block, None
+        s, a, b, width, back = block
+        at = b - n * width if back else a + n * width
+        head, rest = ((s, at, b, width, back), (s, a, at, width, back)) if back else ((s, a, at, width, back), (s, at, b, width, back))
+        return head, rest if rest[1] < rest[2] else None
+
+    def runs_of(block) -> list[Run]:
+        return block if isinstance(block, list) else [block[:3]]
+
+    size_of = lambda block: 1 if isinstance(block, list) else (block[2] - block[1]) // block[3]
+    merges = 0
+    while left > k:
+        weight, key, block = heapq.heappop(heap)
+        pairs = min(size_of(block) // 2, left - k)
+        if pairs:
+            (s, a, b, width, back), rest = divided(block, 2 * pairs)
+            merged, merges = (2 * weight, (s, a, b, 2 * width, not back)), merges + pairs
+        else:
+            other, at, second = heapq.heappop(heap)
+            head, rest2 = divided(second, 1)
+            rest, merged, merges, pairs = None, (weight + other, runs_of(block) + runs_of(head)), merges + 1, 1
+            if rest2:
+                heapq.heappush(heap, (other, at, rest2))
+        if rest:
+            heapq.heappush(heap, (weight, key, rest))
+        heapq.heappush(heap, (merged[0], -merges, merged[1]))
+        left -= pairs
+    out: list[list[Run]] = []
+    for _, key, block in sorted(heap, key=lambda x: x[:2]):
+        start = len(out)
+        while block:
+            head, block = divided(block, 1)
+            out.append(runs_of(head))
+        if merges and key == -merges:
+            out.insert(0, out.pop(start))
+    return out
+
+
 #: A piece of a subtree's nodes in depth-first order: (subtree, first, end).
 Piece = tuple[int, int, int]
 
@@ -410,13 +465,27 @@ def partition_critical_path(edges: DataFrame, k: int, root: int | None = None) -
 
     Too few: the largest part is halved in depth-first order.  Too many: the two
     smallest are merged.  Paths of split subtrees then join the cluster of a
-    neighbour.
+    neighbour.  The driver holds paths and one row a cluster or different size
+    of subtrees; subtrees come to it only if there are k or fewer.
     """
-    path, more, hanging, order = _decompose(edges, root)
+    path, more, hanging, order = _decomposed(edges, root)
     spark = edges.sparkSession
-    parts: list[list[Piece]] = [[(s, 0, n)] for s, n in order]
     ends = segments(len(path), k) or [(0, len(path))]
-    parts += [[(-1, a, b)] for a, b in ends]
+    counts = _size_counts(order)
+    if sum(n for _, n in counts) + len(ends) > k:
+        groups = merge_runs(counts, [b - a for a, b in ends], k)
+        labels = _labelled(order, counts, [(run, [c]) for c, g in enumerate(groups) for run in g if run[0] != -1])
+        on_path = [(int(n), c) for c, g in enumerate(groups) for s, i, _ in g if s == -1 for n in path[slice(*ends[i])]]
+        out = cut(hanging.join(labels, "subtree").select("node", "cluster_id").unionByName(spark.createDataFrame(on_path, "node bigint, cluster_id bigint")))
+    else:
+        out = cut(_halved(hanging, path, [[(s, 0, n)] for s, n in _listed(order)] + [[(-1, a, b)] for a, b in ends], k))
+    rest = [int(n) for p in more for n in p]
+    return out.unionByName(spark.createDataFrame(_joined(edges, out, rest), "node bigint, cluster_id bigint")) if rest else out
+
+
+def _halved(hanging: DataFrame, path: Sequence[int], parts: list[list[Piece]], k: int) -> DataFrame:
+    """(node, cluster_id) of k parts or fewer, the largest halved until there are k; subtree -1 is the path."""
+    spark = hanging.sparkSession
     weight = lambda p: sum(b - a for _, a, b in p)
     while len(parts) < k:
         at = max(range(len(parts)), key=lambda n: (weight(parts[n]), -n))
@@ -425,32 +494,40 @@ def partition_critical_path(edges: DataFrame, k: int, root: int | None = None) -
         (s, a, b), *rest = sorted(parts.pop(at), key=lambda p: p[1] - p[2])
         mid = a + (b - a) // 2
         parts += [[(s, a, mid)], [(s, mid, b), *rest]]
-    while len(parts) > k:
-        parts.sort(key=weight)
-        parts = [parts[0] + parts[1], *parts[2:]]
     ranges = [(s, a, b, c) for c, p in enumerate(parts) for s, a, b in p]
     table = spark.createDataFrame(ranges, "_s bigint, _a bigint, _b bigint, cluster_id bigint")
     place = F.row_number().over(W.partitionBy("subtree").orderBy("key")) - 1
     placed = hanging.select("node", "subtree", place.alias("place")).unionByName(spark.createDataFrame([(int(n), -1, i) for i, n in enumerate(path)], "node bigint, subtree bigint, place int"))
     inside = (F.col("subtree") == F.col("_s")) & (F.col("place") >= F.col("_a")) & (F.col("place") < F.col("_b"))
-    out = cut(placed.join(table, inside).select("node", "cluster_id"))
-    # Paths of split subtrees, from their ends: each node joins a child's or else its parent's cluster.
-    rest = [int(n) for p in more for n in p]
-    if rest:
-        near = edges.where(F.col("parent").isin(rest) | F.col("child").isin(rest)).select("parent", "child").collect()
-        known = {r["node"]: r["cluster_id"] for r in out.where(F.col("node").isin([x for e in near for x in e])).collect()}
-        todo = list(reversed(rest))
-        while todo:
-            left = []
-            for n in todo:
-                found = [known[c] for p, c in near if p == n and c in known] + [known[p] for p, c in near if c == n and p in known]
-                known |= {n: min(found)} if found else {}
-                left += [] if found else [n]
-            if left == todo:
-                break
-            todo = left
-        out = out.unionByName(spark.createDataFrame([(n, known[n]) for n in rest if n in known], "node bigint, cluster_id bigint"))
-    return out
+    return placed.join(table, inside).select("node", "cluster_id")
+
+
+def _joined(edges: DataFrame, out: DataFrame, rest: list[int]) -> list[tuple[int, int]]:
+    """(node, cluster_id) of nodes on paths of split subtrees, from their ends: the least cluster of a neighbour that has one.
+
+    Neighbours off these paths are brought to their least cluster by a join.
+    """
+    spark = edges.sparkSession
+    on = spark.createDataFrame([(n,) for n in rest], "node bigint").distinct()
+    both = edges.select(F.col("parent").alias("node"), F.col("child").alias("other")).unionByName(edges.select(F.col("child").alias("node"), F.col("parent").alias("other")))
+    near = cut(both.join(F.broadcast(on), "node").join(F.broadcast(on.select(F.col("node").alias("other"), F.lit(True).alias("_on"))), "other", "left"))
+    beside: dict[int, list[int]] = {}
+    for r in near.where("_on").select("node", "other").collect():
+        beside.setdefault(r["node"], []).append(r["other"])
+    least = near.where("_on IS NULL").join(out.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("cluster_id").alias("least"))
+    off = {r["node"]: r["least"] for r in least.collect()}
+    known: dict[int, int] = {}
+    todo = list(reversed(rest))
+    while todo:
+        left = []
+        for n in todo:
+            found = ([off[n]] if n in off else []) + [known[x] for x in beside.get(n, ()) if x in known]
+            known |= {n: min(found)} if found else {}
+            left += [] if found else [n]
+        if left == todo:
+            break
+        todo = left
+    return [(n, known[n]) for n in rest if n in known]
 
 
 def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:

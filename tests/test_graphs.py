@@ -115,6 +115,15 @@ def test_longest_path_partition_keeps_subtrees_off_the_driver(twigs, monkeypatch
     assert max(sizes[c] for c in range(4)) <= 125 + 12
 
 
+def test_critical_path_partition_keeps_subtrees_off_the_driver(twigs, monkeypatch):
+    found = _most_collected(monkeypatch, twigs)
+    out = dag.partition_critical_path(twigs, 5)
+    assert max(found) < 20
+    monkeypatch.undo()
+    rows = out.collect()
+    assert len(rows) == len({r.node for r in rows}) == 513 and len({r.cluster_id for r in rows}) == 5
+
+
 def test_runs_are_packed_as_single_sizes():
     draw = random.Random(3)
     for _ in range(300):
@@ -126,6 +135,26 @@ def test_runs_are_packed_as_single_sizes():
         assert [got[n] for n in range(len(sizes))] == dag.pack_largest_first(sizes, bins)
 
 
+def test_runs_are_merged_as_single_sizes():
+    draw = random.Random(4)
+    for _ in range(300):
+        sizes = [draw.choice([1, draw.randint(1, 20)]) for _ in range(draw.randint(0, 60))]
+        last, k = [draw.randint(1, 20) for _ in range(draw.randint(1, 4))], draw.randint(1, 10)
+        parts = [(s, [n]) for n, s in enumerate([*sizes, *last])]
+        while len(parts) > k:
+            parts.sort(key=lambda p: p[0])
+            parts = [(parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]), *parts[2:]]
+        spots = collections.defaultdict(list)
+        for n, s in enumerate(sizes):
+            spots[s].append(n)
+        groups = dag.merge_runs(collections.Counter(sizes).items(), last, k)
+        got = [sorted(len(sizes) + a if s == -1 else n for s, a, b in g for n in ([0] if s == -1 else spots[s][a:b])) for g in groups]
+        want = [sorted(p[1]) for p in parts]
+        assert got == want if len(sizes) + len(last) > k else sorted(got) == sorted(want)
+    # Nine million sizes at once.
+    assert sum(b - a for g in dag.merge_runs([(1, 9_000_000), (2, 1000)], [8, 9], 5) for _, a, b in g) == 9_001_002
+
+
 def test_edge_scores_of_a_tree(spark):
     edges = trees.attachment_tree(spark, 30)
     below = collections.Counter(range(30))
