@@ -39,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, after which the driver collects its garbage.
+
+    The heap shrinks to a few times what is in use, and shuffle files and
+    checkpoints of earlier steps go.  Without it a plan of many steps on many
+    partitions lets the heap grow to its limit and keeps it there, beside what
+    classes, compiled code and threads take.
+    """
+    out = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20):
     """Arrow batches of few rows and bytes, so that long texts fit a Python worker; the session's own settings come back after.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runs
-from .common import cut, looked_up, removed, small_batches, written
+from .common import looked_up, removed, settled, small_batches, written
 
 SHINGLE = 5
 #: Documents link when 100 * intersection >= PERCENT * union.
@@ -209,7 +209,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that the suffix filter lets through, on signatures of an eighth of the sets' bytes or less."""
-    signs = cut(sets.mapInArrow(_sign, "cid binary, sign binary"))
+    signs = settled(sets.mapInArrow(_sign, "cid binary, sign binary"))
     return _met(pairs, signs, "sign").mapInArrow(_possible, "a binary, b binary")
 
 
@@ -218,15 +218,15 @@ def components(links: DataFrame, classes: DataFrame, known: DataFrame | None = N
 
     ``known`` are labels that some of the links led to; the search goes on from them.
     """
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    edges = settled(links.select("a", "b").union(links.select("b", "a")).distinct())
     own = F.struct("first", "cid")
     met = classes.join(edges.select(F.col("a").alias("cid")).distinct(), "cid")
-    labels = cut(met.select("cid", own.alias("label")) if known is None else met.join(known, "cid", "left").select("cid", F.coalesce("label", own).alias("label")))
+    labels = settled(met.select("cid", own.alias("label")) if known is None else met.join(known, "cid", "left").select("cid", F.coalesce("label", own).alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "cid").select("cid", "label", F.least("label", "near").alias("to"))
         jumped = lower.join(labels.select(F.col("cid").alias("_at"), F.col("label").alias("far")), F.col("to.cid") == F.col("_at"))
-        moved = cut(jumped.select("cid", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("_moved")))
+        moved = settled(jumped.select("cid", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("_moved")))
         labels = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return labels
@@ -248,7 +248,7 @@ def _hub_pairs(entries: DataFrame, number: int) -> DataFrame:
     columns = [F.min_by(c, f"_o{i}").alias(f"{c}{i}") for i in range(3) for c in ("cid", *PLACE)]
     hubs = keyed.groupBy("gram").agg(F.min("cid").alias("_low"), F.max("cid").alias("_high"), F.count("*").alias("_n"), *columns).where("_low < _high")
     hubs = hubs.select("gram", (F.col("_n") * 1024 > F.lit(number)).alias("_hot"), F.array(*[F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("cid", *PLACE)]) for i in range(3)]).alias("hubs"))
-    met = looked_up(entries, cut(hubs), "gram", F.col("cid")).select("cid", *PLACE, F.explode(F.array_distinct("hubs")).alias("h"))
+    met = looked_up(entries, settled(hubs), "gram", F.col("cid")).select("cid", *PLACE, F.explode(F.array_distinct("hubs")).alias("h"))
     fits = (F.col("h.cid") != F.col("cid")) & _fits([F.col(c) for c in PLACE], [F.col("h")[c] for c in PLACE])
     return _pairs(met.where(fits).select("cid", F.col("h.cid").alias("other")))
 
@@ -259,10 +259,10 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, tested: DataFrame, number
     A group of over BLOCK sets is divided into blocks; each pair of blocks meets
     in a task of its own.
     """
-    joined = cut(entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label.cid", "cid").alias("label")))
+    joined = settled(entries.join(labels, "cid", "left").select("gram", "cid", *PLACE, F.coalesce("label.cid", "cid").alias("label")))
     groups = joined.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
     mixed = groups.select("gram", (F.col("_n") / BLOCK).cast("int").alias("_last"), (F.col("_n") * 1024 > F.lit(number)).alias("_hot"))
-    left = cut(looked_up(joined, cut(mixed), "gram", F.col("cid")).where("_last IS NOT NULL").distinct())
+    left = settled(looked_up(joined, settled(mixed), "gram", F.col("cid")).where("_last IS NOT NULL").distinct())
     own, every = F.pmod(F.xxhash64("cid"), F.col("_last") + 1).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_last")))
     one = left.select("gram", "cid", *PLACE, "label", own.alias("_i"), every.alias("_j"))
     two = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", *PLACE, "label")], every.alias("_i"), own.alias("_j"))
@@ -308,7 +308,7 @@ def join(docs: DataFrame) -> DataFrame:
         rows, path = written(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(bits), ROWS))
     try:
         with small_batches(spark):
-            out = cut(_components_of(rows))
+            out = settled(_components_of(rows))
     finally:
         removed(spark, path)
     none = F.lit(None).cast("bigint")
@@ -319,7 +319,7 @@ def join(docs: DataFrame) -> DataFrame:
 def _components_of(rows: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) from the rows of ``_prefixes``."""
     named = rows.where("gram IS NULL AND grams IS NULL").select("doc_id", "n", "cid")
-    classes = cut(named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
+    classes = settled(named.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
     total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     entries = rows.where("gram IS NOT NULL").select("gram", "cid", "n", F.col("pos").cast("bigint").alias("pos"), "single")
     whole = rows.where("grams IS NOT NULL").select("cid", "doc_id", "grams")
@@ -327,17 +327,17 @@ def _components_of(rows: DataFrame) -> DataFrame:
     first = classes.select(F.col("cid").alias("_cid"), F.col("first").alias("_first"))
     sets = whole.join(first, (F.col("cid") == F.col("_cid")) & (F.col("doc_id") <= F.col("_first")), "left_semi").select("cid", "grams")
     many = entries.count()
-    tested = cut(_hub_pairs(entries, many))
-    links = cut(verified(tested, sets))
+    tested = settled(_hub_pairs(entries, many))
+    links = settled(verified(tested, sets))
     labels = components(links, classes)
-    rest = cut(_open_pairs(entries, labels, tested, many))
+    rest = settled(_open_pairs(entries, labels, tested, many))
     if not rest.isEmpty():
-        more = cut(verified(cut(possible(rest, sets)), sets))
+        more = settled(verified(settled(possible(rest, sets)), sets))
         if not more.isEmpty():
             labels = components(links.unionByName(more), classes, labels)
     # A label begins with the smallest doc_id of its component, so no join on labels is left.
     found = classes.join(labels, "cid", "left").select("cid", F.coalesce("label.first", "first").alias("component_id"), (F.col("_n") * 1024 > F.lit(total)).alias("_hot"))
-    out = looked_up(named, cut(found), "cid", F.col("doc_id"))
+    out = looked_up(named, settled(found), "cid", F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

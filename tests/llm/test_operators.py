@@ -242,6 +242,15 @@ def test_ngram_join(docs, rows):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_ngram_join_lets_the_drivers_heap_shrink(spark, docs):
+    jvm = spark._jvm
+    block = jvm.java.nio.ByteBuffer.allocate(1 << 30)
+    grown = jvm.Runtime.getRuntime().totalMemory()
+    del block
+    ngram_join.join(docs).count()
+    assert jvm.Runtime.getRuntime().totalMemory() < grown - (1 << 29)
+
+
 def test_ngram_join_of_a_large_family(spark):
     r = random.Random(2)
     base = [f"w{r.randrange(10**6)}" for _ in range(150)]
